@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.llm import topk
+from chronofold.llm import mixing, pii, topk
 from chronofold.llm.common import table
 
 
@@ -25,5 +25,13 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
-QUERIES = {"op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op10_exact_top_k": OP10_SQL}
+def op7_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_pii": op7_pii, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
+ORACLES = {"op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
