@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.llm import mixing, pii, topk
+from chronofold.llm import mixing, pii, simhash, token_codec, topk
 from chronofold.llm.common import table
 
 
@@ -25,6 +25,16 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
+def op3_token_output(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
+    import public_tokenizers
+
+    return token_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=1)
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
+
+
 def op7_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -33,5 +43,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_pii": op7_pii, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op3_token_output": op3_token_output, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
 ORACLES = {"op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
