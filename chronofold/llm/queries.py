@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.llm import mixing, pii, simhash, token_codec, topk
+from chronofold.llm import decontaminate, mixing, pii, simhash, substring_dedup, token_codec, topk
 from chronofold.llm.common import table
 
 
@@ -25,12 +25,20 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_output(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
     import public_tokenizers
 
     return token_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=1)
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
 
@@ -43,5 +51,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_token_output": op3_token_output, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_token_output": op3_token_output, "op4_substring_dedup": op4_substring_dedup, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
 ORACLES = {"op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
