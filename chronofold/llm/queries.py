@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontaminate, mixing, pii, simhash, substring_dedup, token_codec, topk
+from chronofold.llm import decontaminate, language_id, license_scan, mixing, pii, simhash, substring_dedup, token_codec, topk
 from chronofold.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
 
@@ -47,9 +51,13 @@ def op7_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_token_output": op3_token_output, "op4_substring_dedup": op4_substring_dedup, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_token_output": op3_token_output, "op4_substring_dedup": op4_substring_dedup, "op5_language_id": op5_language_id, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
 ORACLES = {"op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
