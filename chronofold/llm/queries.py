@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontaminate, language_id, license_scan, mixing, pii, simhash, substring_dedup, token_codec, topk
+from chronofold.llm import decontaminate, html_extract, language_id, license_scan, mixing, pii, simhash, substring_dedup, token_codec, topk
 from chronofold.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_output(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
     import public_tokenizers
 
@@ -59,5 +63,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_token_output": op3_token_output, "op4_substring_dedup": op4_substring_dedup, "op5_language_id": op5_language_id, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_html_extraction": op2_html_extraction, "op3_token_output": op3_token_output, "op4_substring_dedup": op4_substring_dedup, "op5_language_id": op5_language_id, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
 ORACLES = {"op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
