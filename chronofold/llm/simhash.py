@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import stored
@@ -141,12 +141,15 @@ def keys_of(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints and, last, their representative -> a row for each key; the fingerprint's number is part of the key."""
     golay = Golay()
     for batch in batches:
-        fps, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i in range(0, len(fps), 20_000):
-            row, key = keys_of(fps[i : i + 20_000].view(np.uint64), golay)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 20_000][row]), pa.array(reps[i : i + 20_000][row])], names=["key", "fp", "rep"])
+        reps = batch.column(batch.num_columns - 1).to_numpy()
+        for which in range(batch.num_columns - 1):
+            fps = batch.column(which).to_numpy()
+            for i in range(0, len(fps), 20_000):
+                row, key = keys_of(fps[i : i + 20_000].view(np.uint64), golay)
+                yield pa.RecordBatch.from_arrays([pa.array(key | which << 26), pa.array(fps[i : i + 20_000][row]), pa.array(reps[i : i + 20_000][row])], names=["key", "fp", "rep"])
 
 
 # links
@@ -171,7 +174,20 @@ def forest(fps: np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _links(max_distance: int):
+def nearest(fps: np.ndarray, max_distance: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each member of a bucket with up to ``fan`` of the nearest members before it, as positions."""
+    out_a, out_b = [], []
+    for i in range(1, len(fps)):
+        apart = np.bitwise_count(fps[:i] ^ fps[i])
+        near = np.flatnonzero(apart <= max_distance)
+        if len(near) > fan:
+            near = near[np.argsort(apart[near], kind="stable")[:fan]]
+        out_a.append(near)
+        out_b.append(np.full(len(near), i))
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _links(max_distance: int, fan: int = 0):
     """Sorted rows (bucket, fp, rep) of one partition -> links (a, b) between representatives."""
 
     def found(bucket: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
@@ -188,7 +204,7 @@ def _links(max_distance: int):
             a.append(i)
             b.append(i + d)
         for at, n in zip(first[sizes > 8], sizes[sizes > 8]):
-            x, y = forest(fps[at : at + n], max_distance)
+            x, y = nearest(fps[at : at + n], max_distance, fan) if fan else forest(fps[at : at + n], max_distance)
             a.append(at + x)
             b.append(at + y)
         pairs = np.unique(np.sort(np.stack([reps[np.concatenate(a)], reps[np.concatenate(b)]], axis=1), axis=1), axis=0)
@@ -211,8 +227,11 @@ def _links(max_distance: int):
     return run
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between the representatives of distinct fingerprints (fp, rep), enough to connect all that are near."""
+def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TILE, fan: int = 0) -> DataFrame:
+    """Links (a, b) between the representatives of distinct fingerprints (fp, rep, or more fingerprints before rep).
+
+    They connect all that are near; with ``fan`` each member of a bucket brings that many links.
+    """
     keyed = distinct.where("rep IS NOT NULL").mapInArrow(_keyed, "key long, fp long, rep long")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
     rows = keyed.join(large, "key", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
@@ -220,7 +239,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TIL
     # a tile meets itself and every other tile of its bucket
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("own", "other").cast("long").alias("t1"), F.greatest("own", "other").cast("long").alias("t2"), "fp", "rep")
-    near = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_links(max_distance), "a long, b long")
+    near = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_links(max_distance, fan), "a long, b long")
     return near.distinct()
 
 
@@ -257,3 +276,92 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = MA
     classes = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     classes = stored(classes, "classes")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# classes of similar texts
+
+#: Fingerprints of a text's words, shingles kept of each text, links that a member of a bucket brings.
+FINGERPRINTS, SKETCH, FAN = 3, 128, 4
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _mixed(hashes: np.ndarray, factor: int) -> np.ndarray:
+    value = hashes * np.uint64(factor)
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    return value ^ (value >> np.uint64(32))
+
+
+def signature(text: str | None, words: int = 5) -> tuple[int, list[int], bytes]:
+    """A hash of the whole text's words, fingerprints of its distinct words, the smallest shingle hashes."""
+    tokens = (text or "").encode().lower().split()
+    joined = b" ".join(tokens)
+    whole = xxhash.xxh64_intdigest(joined, 1)
+    if not tokens:
+        return whole, [0] * FINGERPRINTS, b""
+    digest = xxhash.xxh64_intdigest
+    distinct = np.fromiter((digest(t, 42) for t in set(tokens)), np.uint64)
+    n = max(1, len(tokens) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist())
+    shingles = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n) >> np.uint64(24))
+    return whole, [majority(_mixed(distinct, m)) for m in _MIX], shingles[:SKETCH].tobytes()
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the shingles that two texts have in common, by their smallest hashes (exact while these are all)."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.unique(np.concatenate([a, b]))
+    if len(a) == SKETCH or len(b) == SKETCH:  # the smallest of the union, as far as both sketches reach
+        both = both[:SKETCH]
+    return float((np.isin(both, a) & np.isin(both, b)).mean())
+
+
+def _signatures(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                found = [signature(t.as_py(), words) for t in part.column(2)]
+                fps = [pa.array(np.array([f[1][k] for f in found], np.uint64).view(np.int64)) for k in range(FINGERPRINTS)]
+                whole = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *fps, pa.array([f[2] for f in found], pa.binary())], names=["uid", "doc_id", "whole", *(f"f{k}" for k in range(FINGERPRINTS)), "sketch"])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [resemblance(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of documents that stay when one of each class of similar texts does: the smallest doc_id.
+
+    Similar texts share ``similarity`` of their distinct shingles of ``words`` words. Fingerprints of shingles
+    flip too many bits at that similarity, so here three fingerprints are made of a text's distinct words, which
+    an edit touches less; pairs within 4 bits in one of them are candidates by the Golay keys, and only pairs
+    whose shingles resemble each other link. Equal texts are one candidate. Null doc_ids come last; of rows
+    that are equal in doc_id and text one stays.
+    """
+    rows = documents.withColumn("__uid", F.xxhash64("doc_id", "text"))
+    schema = "uid long, doc_id long, whole long, " + "".join(f"f{k} long, " for k in range(FINGERPRINTS)) + "sketch binary"
+    signed = stored(rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(words), schema), "signatures")
+    fps = [f"f{k}" for k in range(FINGERPRINTS)]
+    texts = stored(signed.groupBy("whole").agg(*(F.min(f).alias(f) for f in fps), F.min("sketch").alias("sketch")), "texts")
+    near = stored(links(texts.select(*fps, F.col("whole").alias("rep")), fan=FAN), "near")
+    sketch = texts.select("whole", "sketch")
+    pairs = near.join(sketch.select(F.col("whole").alias("a"), F.col("sketch").alias("x")), "a")
+    pairs = pairs.join(sketch.select(F.col("whole").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    found = components(pairs.mapInArrow(_verified(similarity), "a long, b long"))
+    classes = signed.select("uid", "doc_id", "whole").join(found, signed["whole"] == found["node"], "left").withColumn("class", F.coalesce("component", "whole"))
+    first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("first"))
+    stays = stored(first.select(F.col("first.uid").alias("__uid")), "stays")
+    copies = F.row_number().over(Window.partitionBy("__uid").orderBy(F.lit(1)))
+    return rows.join(stays, "__uid", "left_semi").withColumn("__copy", copies).where("__copy = 1").drop("__uid", "__copy")

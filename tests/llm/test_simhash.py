@@ -93,3 +93,39 @@ def test_empty_and_bad_arguments(spark):
     assert simhash.near_duplicates(docs).count() == 0
     with pytest.raises(ValueError):
         simhash.near_duplicates(docs, max_distance=5)
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_one_of_each_class(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows, base = [], []
+    for i in range(30):
+        w = rng.choice(words, 200).tolist()
+        base.append((i, " ".join(w)))
+        for k in range(5):  # light edits
+            v = list(w)
+            v[int(rng.integers(200))] = f"x{k}"
+            rows.append((100 + 10 * i + k, " ".join(v)))
+        half = w[:100] + rng.choice(words, 100).tolist()
+        base.append((500 + i, " ".join(half)))
+    rows += base + [(1000, base[0][1]), (1001, base[0][1].upper()), (None, base[2][1]), (0, base[0][1]), (2000, None), (2001, ""), (2002, "one two")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, a string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids))
+    assert {i for i in ids if i is not None and not 100 <= i < 500} == {d for d, _ in base} | {2000, 2002}
+    # of 150 edited copies nearly all go
+    assert sum(i is None or 100 <= i < 500 for i in ids) <= 6
+
+
+def test_resemblance_is_exact_for_short_texts():
+    a, b = "a b c d e f g h", "a b c d e f g x"
+    got = simhash.resemblance(*(np.frombuffer(simhash.signature(t)[2], np.uint64) for t in (a, b)))
+    assert got == pytest.approx(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)))
+    assert simhash.resemblance(np.empty(0), np.empty(0)) == 1 and simhash.resemblance(np.empty(0), np.ones(1)) == 0
