@@ -144,3 +144,16 @@ def activity_totals(rolled: DataFrame, today: Column, days: int = 14, timezone:
     agents = rolled.where(day.between(F.date_sub(today, days - 1), today)).select(F.explode("agents").alias("a")).agg(F.count_distinct("a").alias("agents"))
     sums = daily.agg(F.sum("sessions").alias("sessions"), F.sum("events").alias("events"), F.count_if(F.col("sessions") > 0).alias("active_days"), F.max("events").alias("max_events"))
     return sums.join(F.broadcast(agents))
+
+
+def export(records: DataFrame, rolled: DataFrame) -> DataFrame:
+    """(conversation_id, value): a session as one JSON object of conversation, analysis and timeline."""
+    # maps have no order: entries are compared by their place alone
+    before = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    entries = F.array_sort(F.collect_list(F.struct(order_key().alias("at"), F.struct(*records.columns).alias("entry"))), before)
+    timeline = records.groupBy("conversation_id").agg(F.transform(entries, lambda e: e["entry"]).alias("timeline"))
+    analysis = analyze(records)
+    analysis = analysis.select("conversation_id", F.struct(*(c for c in analysis.columns if c != "conversation_id")).alias("analysis"))
+    summary = rolled.select("conversation_id", F.struct(*rolled.columns).alias("conversation"))
+    joined = summary.join(analysis, "conversation_id").join(timeline, "conversation_id")
+    return joined.select("conversation_id", F.to_json(F.struct("conversation", "analysis", "timeline")).alias("value"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from chronofold.operators import query
 from chronofold.schema import ROW
@@ -84,3 +84,26 @@ def rolling_counts(stream: DataFrame, watermark: str = "10 minutes", window: str
 def sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """Bursts of a conversation's records that lie less than the gap apart."""
     return stream.withWatermark("occurred_at", watermark).groupBy("conversation_id", F.session_window("occurred_at", gap)).agg(F.count(F.lit(1)).alias("records"))
+
+
+class DeliveryStats(StreamingQueryListener):
+    """Counts of batches and rows delivered, and the last failure, of the queries of a session."""
+
+    def __init__(self) -> None:
+        self.batches = self.rows = self.failed = 0
+        self.last_error: str | None = None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed += 1
+            self.last_error = event.exception
