@@ -39,6 +39,19 @@ def op3_token_output(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
     return token_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=1)
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN low USING (k) WHERE doc_id > lo),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT e.doc_id, count(g.j) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.j) FILTER (g.j IS NULL), '') AS text
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.j = g.j GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -64,4 +77,4 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_html_extraction": op2_html_extraction, "op3_token_output": op3_token_output, "op4_substring_dedup": op4_substring_dedup, "op5_language_id": op5_language_id, "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_exact_top_k": op10_exact_top_k}
-ORACLES = {"op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op9_mixing": mixing.report_sql(), "op10_exact_top_k": OP10_SQL}
