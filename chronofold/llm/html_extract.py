@@ -246,10 +246,12 @@ def extract(pages: DataFrame) -> DataFrame:
     paired = pairs(loose).join(loose.select("uid", F.col("hashes").alias("own")).dropDuplicates(["uid"]), "uid")
     paired = paired.join(loose.select(F.col("uid").alias("other"), F.col("hashes").alias("theirs")).dropDuplicates(["other"]), "other")
     marks = paired.select("uid", "own", "theirs").mapInArrow(_marked, "uid long, shared array<int>")
-    joined = found.select("uid", "page_id", "url", "lines").join(marks.where(F.size("shared") > 0), "uid", "left")
+    joined = loose.select("uid", "page_id", "url", "lines").join(marks.where(F.size("shared") > 0), "uid", "left")
     kept = F.when(F.col("shared").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains(F.col("shared"), i)))
-    text = F.array_join(kept, " ")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    open_pages = joined.select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    # pages with an article are as they will be: they meet no marks and do not move
+    settled = found.where("settled").select("page_id", "url", F.array_join("lines", " ").alias("text"))
+    return settled.unionByName(open_pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
