@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# what Python workers hold from task to task
+
+_caches: dict[str, Callable[[], None]] = {}
+_working_for = ""
+
+
+def worker_cache(name: str, clear: Callable[[], None]) -> None:
+    """Name a cache that an operator's tasks leave in their worker for the next one."""
+    _caches[name] = clear
+
+
+def working_for(name: str = "") -> None:
+    """Called as a task begins: what other operators left in this worker is dropped, so that one cache is held at a time."""
+    global _working_for
+    if _working_for != name:
+        for other, clear in _caches.items():
+            if other != name:
+                clear()
+        _working_for = name
+
+
 def row_uid(*columns: str) -> Column:
     """A key for rows that may repeat a doc_id: equal rows share it, different texts do not."""
     return F.xxhash64(*columns)

@@ -24,9 +24,11 @@ without rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import scratch, stored
+from chronofold.llm.common import scratch, stored, worker_cache, working_for
 
 #: Longest code, unless the vocabulary needs more.
 LIMIT = 16
 #: Ids of a block, and ids after which a frame ends.
 BLOCK, FRAME = 256, 1 << 18
-#: Distinct words that a worker holds before it starts anew.
-CACHED_WORDS = 500_000
+#: Distinct pieces of words that a worker holds before it starts anew.
+CACHED_PIECES = 600_000
 #: Characters of the texts that are encoded at once.
 CHUNK = 4_000_000
 
@@ -139,25 +141,22 @@ def unpack(payload: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray,
 # the tokenizer, word by word
 
 
-class _Slots(dict):
-    """word -> slot; a new word gets the next slot and is queued."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.queued: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.queued.append(word)
-        return n
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n values at least, doubled by need."""
+    return np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)]) if len(array) < n else array
 
 
 class WordEncoder:
-    """Ids of texts, with each distinct word encoded once."""
+    """Ids of texts, with each distinct word of a call cut, and each distinct piece encoded, once.
+
+    A word of letters with ASCII marks after it is two pieces, its letters and the marks, as the tokenizer
+    always cuts there; any other word is one piece.
+    """
 
-    STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -168,71 +167,76 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots, self.pieces = _Slots(), {}
-        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pieces: dict[str, int] = {"": 0}
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.flat, self.filled = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32), 0
 
-    def _whole(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stems(self, stems: list[str]) -> list[list[int]]:
         """Words of letters only, many to a call; the ids are cut where a word ends."""
         groups = [stems[i : i + 64] for i in range(0, len(stems), 64)]
         out: list[list[int]] = []
         for group, ids in zip(groups, self._whole([" ".join(g) for g in groups])):
-            cuts = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(group) and cuts[-1] == len(ids):
                 out += [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
             else:
                 out += self._whole(group)
         return out
 
-    def _encode_queued(self) -> None:
-        queued, self.slots.queued = self.slots.queued, []
-        cut, stems, rest = [], set(), set()
-        for word in queued:
-            plain = word.lower() if word.isascii() else word
-            m = self.STEM.fullmatch(plain)
-            cut.append((m[1], m[2]) if m else (word, ""))
-            if m:
-                if m[1] not in self.pieces:
-                    stems.add(m[1])
-                if m[2] and m[2] not in self.pieces:
-                    rest.add(m[2])
-            elif word not in self.pieces:
-                rest.add(word)
-        for words, encode in ((list(stems), self._stems), (list(rest), self._whole)):
-            if words:
-                self.pieces.update(zip(words, encode(words)))
-        found = [self.pieces[a] + self.pieces[b] if b else self.pieces[a] for a, b in cut]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.slots) - len(found), int(sizes.sum())
-        while len(self.flat) < self.filled + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.sizes) < len(self.slots):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.filled : self.filled + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.starts[first : len(self.slots)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[first : len(self.slots)] = sizes
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of the pieces that are new."""
+        new = [x for x in dict.fromkeys(pieces) if x not in self.pieces]
+        letters = [x for x in new if x.isalpha() and not x.isascii()]
+        rest = [x for x in new if not x.isalpha()]
+        # to ASCII letters no rule applies but lower case and the model's
+        model = self.tokenizer.model
+        of = {x: [t.id for t in model.tokenize(x.lower())] for x in new if x.isascii() and x.isalpha()}
+        of |= dict(zip(letters, self._stems(letters)))
+        of |= dict(zip(rest, self._whole(rest) if rest else ()))
+        found, first = [of[x] for x in new], len(self.pieces)
+        self.pieces.update(zip(new, range(first, first + len(new))))
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(sizes.sum())
+        self.flat = _grown(self.flat, self.filled + total)
+        self.starts, self.sizes = _grown(self.starts, len(self.pieces)), _grown(self.sizes, len(self.pieces))
+        self.flat[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(found), self.flat.dtype, total)
+        self.starts[first : len(self.pieces)] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[first : len(self.pieces)] = sizes
         self.filled += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.slots) > CACHED_WORDS:
+        if len(self.pieces) > CACHED_PIECES:
             self._clear()
-        slot = self.slots.__getitem__
-        indices = []
-        for text in texts:
-            words = _words(text)
-            indices.append(np.fromiter(map(slot, words), np.int64, len(words)))
-        if self.slots.queued:
-            self._encode_queued()
-        out = []
-        for index in indices:
-            sizes = self.sizes[index]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(total)])
-        return out
+        split = [_words(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        own = dict.fromkeys(words)
+        heads = list(own)
+        own.update(zip(heads, range(len(heads))))
+        index = np.fromiter(map(own.__getitem__, words), np.int32, len(words))
+        # words with marks at their end: the letters stay, the marks are pieces of their own
+        marked, tails = [], []
+        for i in [i for i, w in enumerate(heads) if not w.isalpha()]:
+            stem = heads[i].rstrip(self.MARKS)
+            if stem.isalpha():
+                marked.append(i)
+                tails.append(heads[i][len(stem) :])
+                heads[i] = stem
+        self._learn(heads)
+        self._learn(tails)
+        at = self.pieces.__getitem__
+        pair = np.zeros((len(heads), 2), np.int32)
+        pair[:, 0] = np.fromiter(map(at, heads), np.int32, len(heads))
+        pair[marked, 1] = np.fromiter(map(at, tails), np.int32, len(tails))
+        pieces = pair[index].reshape(-1)
+        sizes = self.sizes[pieces]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = self.flat[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        # where each text's words end, in pieces and so in ids
+        cut = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
 
 #: Characters beyond ASCII white space at which str.split() cuts too.
@@ -240,13 +244,16 @@ _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 
 
 def _words(text: str) -> list[str]:
-    """The pieces between ASCII white space."""
+    """What stands between ASCII white space, in lower case where that is ASCII's alone and no special token can arise."""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
     if _OTHER_SPACE.search(text):
         return [w for w in re.split(r"[\x20\t-\r]+", text) if w]
     return text.split()
 
 
 _encoders: dict[str, WordEncoder] = {}
+worker_cache("tokens", lambda: _encoders.clear())
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -257,13 +264,17 @@ def _encoder(path: str) -> WordEncoder:
 
 # the jobs
 
-TOKENS = "part int, doc_id long, local long, n long, ids binary"
+#: Texts with their ids; each part's last row has, in place of a text, the counts of its ids.
+TOKENS = "part int, doc_id long, local long, n long, ids binary, counts map<long,long>"
+_TOKENS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.map_(pa.int64(), pa.int64()))])
 FRAMES = "part int, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("tokens")
         part, before, encoder = TaskContext.get().partitionId(), 0, _encoder(path)
+        counts = np.zeros(max(encoder.size, end_id + 1), np.int64)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             i = 0
@@ -273,13 +284,16 @@ def _tokenised(path: str, end_id: int):
                     chunk.append(texts[j].as_py() or "")
                     size += len(chunk[-1])
                     j += 1
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(chunk)]
+                ids = [np.append(x, x.dtype.type(end_id)) for x in encoder.encode(chunk)]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 local = before + np.cumsum(n) - n
                 before += int(n.sum())
+                counts += np.bincount(np.concatenate(ids), minlength=len(counts))
                 kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), doc_ids[i:j], pa.array(local), pa.array(n), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["part", "doc_id", "local", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), doc_ids[i:j], pa.array(local), pa.array(n), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), _TOKENS.field("counts").type)], schema=_TOKENS)
                 i = j
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pylist([{"part": part, "counts": list(zip(used.tolist(), counts[used].tolist()))}], schema=_TOKENS)
 
     return run
 
@@ -288,20 +302,9 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for n, blob in zip(batch.column(0).to_numpy(), batch.column(1)):
-            own = np.bincount(_ids(blob.as_py(), n))
-            if len(own) > len(total):
-                own, total = total, own
-            total[: len(own)] += own
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-
 def _framed(lengths: np.ndarray, before: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for()
         codes = canonical_codes(lengths)
         held: list[tuple[int, int, int, np.ndarray]] = []
 
@@ -332,6 +335,7 @@ def _framed(lengths: np.ndarray, before: dict[int, int]):
 
 def _read(lengths: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for()
         table = decode_table(lengths)
         for batch in batches:
             for start, doc_ids, n_tokens, offsets, payload in zip(*(batch.column(i) for i in range(5))):
@@ -352,13 +356,14 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, end_id: i
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    tokens = stored(ordered.mapInArrow(_tokenised(tokenizer_path, end_id), TOKENS), "tokens")
+    found = stored(ordered.mapInArrow(_tokenised(tokenizer_path, end_id), TOKENS), "tokens")
+    tokens = found.where("counts IS NULL").drop("counts")
     # one row per partition and one per id of the vocabulary reach the driver
     parts = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before, total = {}, 0
     for part, n in parts:
         before[part], total = total, total + n
-    counted = tokens.select("n", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = found.where("counts IS NOT NULL").select(F.explode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
