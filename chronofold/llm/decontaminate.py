@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import row_uid, stored
+from chronofold.llm.common import row_uid, stored, worker_cache, working_for
 from chronofold.llm.substring_dedup import rolling
 
 WINDOW = 8
@@ -100,6 +100,7 @@ class _Table:
 
 
 _table = _Table()
+worker_cache("templates", lambda: _table.__init__())
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -128,6 +129,7 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None):
     """owner, uid, text -> windows of these sizes; of items (no bitmap) one size each, without those of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("templates")
         for batch in batches:
             held: list[list] = [[] for _ in _ARROW]
             for owner, uid, text in zip(*(batch.column(i) for i in range(3))):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import stored
+from chronofold.llm.common import stored, working_for
 
 UNDETERMINED = "und"
 ORDER = 5
@@ -160,22 +160,28 @@ def learn(labelled: DataFrame, sample: int = 4000, vocabulary: int = 60_000) ->
     return fit(counts)
 
 
-def _predicted(shared, evidence: int):
+def _predicted(shared, evidence: int, names: list[str]):
+    sent = ["text", *(n for n in names if n != "text")]
+    kept = [sent.index(n) for n in names]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for()
         scorer = Scorer(shared.value)
-        for batch in batches:
-            found = [scorer.predict(t.as_py(), evidence) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                found = [scorer.predict(t.as_py(), evidence) for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
 
 def predict(texts: DataFrame, model: Model, keep: dict[str, str] | None = None, evidence: int = 20) -> DataFrame:
-    """The columns of ``keep`` (name -> type; doc_id if not given) with lang_pred and score of each whole text."""
+    """The columns of ``keep`` (name -> type; doc_id if not given; text may be one) with lang_pred and score of each whole text."""
     keep = keep or {"doc_id": "long"}
     shared = texts.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"{k} {v}" for k, v in [*keep.items(), ("lang_pred", "string"), ("score", "double")])
-    return texts.select(*keep, "text").mapInArrow(_predicted(shared, evidence), schema)
+    return texts.select("text", *(k for k in keep if k != "text")).mapInArrow(_predicted(shared, evidence, list(keep)), schema)
 
 
 def identify(documents: DataFrame, sample: int = 4000) -> DataFrame:

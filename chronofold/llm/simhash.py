@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import stored
+from chronofold.llm.common import stored, working_for
 
 MAX_DISTANCE = 4
 #: Members of a bucket that are compared in one piece.
@@ -321,6 +321,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for()
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)

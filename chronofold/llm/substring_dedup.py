@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import row_uid, stored
+from chronofold.llm.common import row_uid, stored, worker_cache, working_for
 
 WINDOW, GRAM = 50, 10
 #: Suffixes that one group holds in memory; beyond, the prefix is lengthened.
@@ -58,6 +58,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+worker_cache("words", _hashes.clear)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
@@ -125,6 +126,7 @@ def _prefixes(window: int, gram: int):
     """doc_id, uid, text -> a row for each prefix of a text with the number of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("words")
         for batch in batches:
             at, prefixes, counts = [], [], []
 
@@ -156,6 +158,7 @@ def _snippets(window: int, gram: int):
     """doc_id, uid, text, shared -> the pieces of text of small groups, the single windows of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("words")
         schema = pa.schema([("long", pa.bool_()), ("prefix", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
         for batch in batches:
             held: list[list] = [[] for _ in schema]
