@@ -28,6 +28,7 @@ no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import stored, working_for
+from chronofold.llm.substring_dedup import rolling
 
 MAX_DISTANCE = 4
 #: Members of a bucket that are compared in one piece.
@@ -141,15 +143,13 @@ def keys_of(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints and, last, their representative -> a row for each key; the fingerprint's number is part of the key."""
+    """Fingerprint and representative -> a row for each key."""
     golay = Golay()
     for batch in batches:
-        reps = batch.column(batch.num_columns - 1).to_numpy()
-        for which in range(batch.num_columns - 1):
-            fps = batch.column(which).to_numpy()
-            for i in range(0, len(fps), 20_000):
-                row, key = keys_of(fps[i : i + 20_000].view(np.uint64), golay)
-                yield pa.RecordBatch.from_arrays([pa.array(key | which << 26), pa.array(fps[i : i + 20_000][row]), pa.array(reps[i : i + 20_000][row])], names=["key", "fp", "rep"])
+        fps, reps = (batch.column(i).to_numpy() for i in range(2))
+        for i in range(0, len(fps), 20_000):
+            row, key = keys_of(fps[i : i + 20_000].view(np.uint64), golay)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 20_000][row]), pa.array(reps[i : i + 20_000][row])], names=["key", "fp", "rep"])
 
 
 # links
@@ -280,33 +280,37 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = MA
 
 # classes of similar texts
 
-#: Fingerprints of a text's words, shingles kept of each text, links that a member of a bucket brings.
-FINGERPRINTS, SKETCH, FAN = 3, 128, 4
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: One text of so many is read for the order of the shingles; in these texts a common one occurs so often; the list's length. They change the work, never the result.
+SAMPLED, OFTEN, COMMON = 16, 3, 100_000
+#: Members of a bucket that are all proposed to each other at once.
+SMALL = 8
+#: Shingles by which a pair is verified.
+SKETCH = 128
+#: Power of two of the bits that say which texts are in a candidate pair.
+BITMAP = 22
 
 
-def _mixed(hashes: np.ndarray, factor: int) -> np.ndarray:
-    value = hashes * np.uint64(factor)
-    value ^= value >> np.uint64(32)
-    value *= np.uint64(0xD6E8FEB86659FD93)
-    return value ^ (value >> np.uint64(32))
-
-
-def signature(text: str | None, words: int = 5) -> tuple[int, list[int], bytes]:
-    """A hash of the whole text's words, fingerprints of its distinct words, the smallest shingle hashes."""
+def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
+    """A hash of the whole text's words, the number of its distinct shingles and their hashes (40 bits, as uint64, sorted)."""
     tokens = (text or "").encode().lower().split()
-    joined = b" ".join(tokens)
-    whole = xxhash.xxh64_intdigest(joined, 1)
+    whole = xxhash.xxh64_intdigest(b" ".join(tokens), 1)
     if not tokens:
-        return whole, [0] * FINGERPRINTS, b""
+        return whole, 0, b""
     digest = xxhash.xxh64_intdigest
-    distinct = np.fromiter((digest(t, 42) for t in set(tokens)), np.uint64)
-    n = max(1, len(tokens) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist())
-    shingles = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n) >> np.uint64(24))
-    return whole, [majority(_mixed(distinct, m)) for m in _MIX], shingles[:SKETCH].tobytes()
+    hashes = np.fromiter((digest(t, 42) for t in tokens), np.uint64, len(tokens))
+    shingles = np.unique(rolling(hashes, min(words, len(tokens))) >> np.uint64(24))
+    return whole, len(shingles), shingles.tobytes()
+
+
+def packed(shingles: bytes) -> bytes:
+    """Five bytes for each hash."""
+    return np.frombuffer(shingles, np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(shingles: bytes) -> np.ndarray:
+    out = np.zeros((len(shingles) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(shingles, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view(np.uint64)
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
@@ -319,16 +323,175 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.isin(both, a) & np.isin(both, b)).mean())
 
 
-def _signatures(words: int):
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.fromiter((xxhash.xxh64_intdigest(b" ".join((t.as_py() or "").encode().lower().split()), 1) for t in batch.column(2)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["uid", "doc_id", "whole"])
+
+
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_for()
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                found = [signature(t.as_py(), words) for t in part.column(2)]
-                fps = [pa.array(np.array([f[1][k] for f in found], np.uint64).view(np.int64)) for k in range(FINGERPRINTS)]
+                found = [signature(t.as_py(), words) for t in batch.column(0).slice(i, 1000)]
                 whole = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), whole, *fps, pa.array([f[2] for f in found], pa.binary())], names=["uid", "doc_id", "whole", *(f"f{k}" for k in range(FINGERPRINTS)), "sketch"])
+                yield pa.RecordBatch.from_arrays([whole, pa.array([packed(f[2]) for f in found], pa.binary())], names=["whole", "shingles"])
+
+    return run
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(x.as_py()).view(np.int64))], names=["h"])
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """The commonest shingles of a sample of the texts, the rarest first."""
+    sample = texts.where(F.pmod(F.xxhash64("whole"), F.lit(SAMPLED)) == 0).select("shingles").mapInArrow(_exploded, "h long")
+    counted = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    return np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64)[::-1].astype(np.uint64)
+
+
+def _prefixes(common, similarity: float):
+    """whole, shingles -> a row for each shingle of the text's prefix in the order of shingles, with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.argsort(common.value)
+        values = common.value[rank]
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                hashes, sizes, places, reps = [], [], [], []
+                for rep, packed_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = unpacked(packed_)
+                    n = len(own)
+                    if not n:
+                        continue
+                    if len(values):  # others by hash, then the common ones by frequency
+                        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                        own = own[np.argsort(np.where(values[at] == own, rank[at], -1), kind="stable")]
+                    k = n - math.ceil(similarity * n - 1e-9) + 1
+                    hashes.append(own[:k])
+                    sizes.append(np.full(k, n, np.int32))
+                    places.append(np.arange(k, dtype=np.int32))
+                    reps.append(np.full(k, rep))
+                if hashes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([h.view(np.int64) for h in hashes], sizes, places, reps)], names=["h", "n", "place", "rep"])
+
+    return run
+
+
+def _may(n, place, i, j, similarity: float) -> np.ndarray:
+    """Whether texts that meet at these places for the first time can share enough shingles."""
+    needed = np.ceil((n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-6)
+    return np.minimum(n[i] - place[i], n[j] - place[j]) >= needed
+
+
+def _proposed(h, n, place, rep, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by h and n -> (a, b) as positions, and the rows of buckets whose members did not all meet.
+
+    Small buckets propose all their pairs. Others propose each member to one leader, the smallest text that can still
+    be similar to it; the rest of their pairs come when it is known which members that has linked.
+    """
+    new = np.append(True, h[1:] != h[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new)
+    sizes = np.diff(np.append(first, len(h)))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    small = np.repeat(sizes <= SMALL, sizes)
+    for d in range(1, SMALL):
+        i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(h) > d else np.empty(0, np.int64)
+        a.append(i)
+        b.append(i + d)
+    for at, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        while size > 1:
+            count = int(np.searchsorted(n[at : at + size], n[at] / similarity + 1e-6, "right"))
+            a.append(np.full(count - 1, at))
+            b.append(np.arange(at + 1, at + count))
+            at, size = at + count, size - count
+    a, b = np.concatenate(a), np.concatenate(b)
+    may = _may(n, place, a, b, similarity)
+    return a[may], b[may], np.flatnonzero(~small)
+
+
+def _left(h, n, place, rep, component, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by h -> (a, b): all pairs of a bucket whose members are not in one class yet."""
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    for at, end in zip(first.tolist(), np.append(first[1:], len(h)).tolist()):
+        names, which, counts = np.unique(component[at:end], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        # the largest class comes last: only the others look for partners
+        order = np.argsort(counts[which] * len(names) + which, kind="stable")
+        rows, classes = at + order, which[order]
+        for i in range(len(rows) - int(counts.max())):
+            j = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
+            x, y = np.full(len(j), rows[i]), rows[j]
+            may = _may(n, place, x, y, similarity)
+            if may.any():
+                yield x[may], y[may]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut between values of the first one."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut or held and held[-1][0][-1] != now[0][0]:
+            held.append([x[:cut] for x in now])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _pairs(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.sort(np.stack([rep[a], rep[b]], axis=1), axis=1), axis=0)
+
+
+def _first_round(similarity: float):
+    """Sorted rows (h, n, place, rep) -> pairs (a, b), and rows of large buckets again with b null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n, place, rep in _buckets(batches):
+            a, b, rest = _proposed(h, n, place, rep, similarity)
+            pairs = _pairs(rep, a, b)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none.cast(pa.int32()), none.cast(pa.int32())], names=["a", "b", "h", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[rest]), pa.nulls(len(rest), pa.int64()), pa.array(h[rest]), pa.array(n[rest]), pa.array(place[rest])], names=["a", "b", "h", "n", "place"])
+
+    return run
+
+
+def _second_round(similarity: float):
+    """Sorted rows (h, n, place, rep, component) -> the pairs (a, b) that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n, place, rep, component in _buckets(batches):
+            held, rows = [], 0
+            for a, b in _left(h, n, place, rep, component, similarity):
+                held.append((a, b))
+                rows += len(a)
+                if rows > 500_000:
+                    pairs, held, rows = _pairs(rep, *(np.concatenate(x) for x in zip(*held))), [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if held:
+                pairs = _pairs(rep, *(np.concatenate(x) for x in zip(*held)))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _in_pairs(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column(0).to_numpy() & ((1 << BITMAP) - 1)
+            yield batch.filter(pa.array((bits.value[low >> 6] >> (low & 63) & 1).astype(bool)))
 
     return run
 
@@ -336,32 +499,57 @@ def _signatures(words: int):
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [resemblance(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            keep = [resemblance(unpacked(x.as_py())[:SKETCH], unpacked(y.as_py())[:SKETCH]) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts (whole, shingles) that share enough of their smallest shingles."""
+    spark = texts.sparkSession
+    low = F.col("id").bitwiseAND((1 << BITMAP) - 1)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select((low / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bit"))
+    bits = np.zeros((1 << BITMAP) // 64, np.int64)
+    for r in ids.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["at"]] = r["bits"]
+    # a fixed bitmap keeps most texts that are in no pair out of the joins; the joins drop the rest
+    met = texts.select("whole", "shingles").mapInArrow(_in_pairs(spark.sparkContext.broadcast(bits)), "whole long, shingles binary")
+    both = pairs.join(met.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(met.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(_verified(similarity), "a long, b long"), "similar")
+
+
+def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of all texts (whole, shingles) that are similar to another, directly or through others."""
+    spark = texts.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(texts))
+    keyed = texts.select("whole", "shingles").mapInArrow(_prefixes(common, similarity), "h long, n int, place int, rep long")
+    rows = keyed.repartition("h").sortWithinPartitions("h", "n", "rep")
+    first = stored(rows.mapInArrow(_first_round(similarity), "a long, b long, h long, n int, place int"), "first")
+    links = similar(stored(first.where("b IS NOT NULL").select("a", "b").distinct(), "pairs"), texts, similarity)
+    return components(links)
+
+
 def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of documents that stay when one of each class of similar texts does: the smallest doc_id.
 
-    Similar texts share ``similarity`` of their distinct shingles of ``words`` words. Fingerprints of shingles
-    flip too many bits at that similarity, so here three fingerprints are made of a text's distinct words, which
-    an edit touches less; pairs within 4 bits in one of them are candidates by the Golay keys, and only pairs
-    whose shingles resemble each other link. Equal texts are one candidate. Null doc_ids come last; of rows
-    that are equal in doc_id and text one stays.
+    Similar texts share ``similarity`` of their distinct shingles of ``words`` words; classes are the connected
+    components. Candidates come from a prefix filter: in any one order of all shingles, two sets of n and m with
+    that much in common share one of the first n - ceil(similarity * n) + 1 of either, or else too few are left. The
+    order puts the shingles last that are common in a sample of the texts, so that a repeated line does not bring
+    its texts together. Texts meet in the buckets of these shingles if their sizes and places there allow the
+    similarity, and link if their whole sets have it: no pair is lost. Large buckets propose each member to a leader
+    first, and then all pairs whose members the links have not put into one class. Equal texts are one candidate. Null
+    doc_ids come last; of rows that are equal in doc_id and text one stays.
     """
     rows = documents.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    schema = "uid long, doc_id long, whole long, " + "".join(f"f{k} long, " for k in range(FINGERPRINTS)) + "sketch binary"
-    signed = stored(rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(words), schema), "signatures")
-    fps = [f"f{k}" for k in range(FINGERPRINTS)]
-    texts = stored(signed.groupBy("whole").agg(*(F.min(f).alias(f) for f in fps), F.min("sketch").alias("sketch")), "texts")
-    near = stored(links(texts.select(*fps, F.col("whole").alias("rep")), fan=FAN), "near")
-    sketch = texts.select("whole", "sketch")
-    pairs = near.join(sketch.select(F.col("whole").alias("a"), F.col("sketch").alias("x")), "a")
-    pairs = pairs.join(sketch.select(F.col("whole").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
-    found = components(pairs.mapInArrow(_verified(similarity), "a long, b long"))
-    classes = signed.select("uid", "doc_id", "whole").join(found, signed["whole"] == found["node"], "left").withColumn("class", F.coalesce("component", "whole"))
+    named = rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = stored(named.mapInArrow(_wholes, "uid long, doc_id long, whole long"), "signatures")
+    sets = documents.select("text").mapInArrow(_sets(words), "whole long, shingles binary")
+    texts = stored(sets.groupBy("whole").agg(F.min("shingles").alias("shingles")), "texts")
+    found = similar_texts(texts, similarity)
+    classes = signed.join(found, signed["whole"] == found["node"], "left").withColumn("class", F.coalesce("component", "whole"))
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("first"))
     stays = stored(first.select(F.col("first.uid").alias("__uid")), "stays")
     copies = F.row_number().over(Window.partitionBy("__uid").orderBy(F.lit(1)))

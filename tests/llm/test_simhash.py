@@ -129,3 +129,38 @@ def test_resemblance_is_exact_for_short_texts():
     got = simhash.resemblance(*(np.frombuffer(simhash.signature(t)[2], np.uint64) for t in (a, b)))
     assert got == pytest.approx(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)))
     assert simhash.resemblance(np.empty(0), np.empty(0)) == 1 and simhash.resemblance(np.empty(0), np.ones(1)) == 0
+
+
+def brute_classes(texts, similarity=0.8):
+    sets = [shingles(t) for t in texts]
+    name = list(range(len(texts)))
+    linked = []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 5 * both >= 5 * similarity * len(sets[i] | sets[j]):
+                linked.append((j, i))
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if x == old else x for x in name]
+    return name, linked
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+
+
+def test_appended_cut_and_edited_copies_all_go(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(20_000)]
+    out = []
+    for n in (60, 120, 300, 900):
+        for _ in range(6):
+            w = rng.choice(words, n).tolist()
+            other = rng.choice(words, n).tolist()
+            edited = [x if rng.random() > 0.02 else f"y{x}" for x in w]
+            out += [w, w + other[: n // 10], w + other[: n // 5], w[: -n // 10], w[n // 6 :], edited, w[: n // 2] + other[: n // 2]]
+    texts = [" ".join(w) for w in out]
+    names, linked = brute_classes(texts)
+    assert len(linked) > 100
+    assert kept_of(spark, texts) == sorted(set(names))
