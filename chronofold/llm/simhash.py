@@ -174,20 +174,7 @@ def forest(fps: np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def nearest(fps: np.ndarray, max_distance: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): each member of a bucket with up to ``fan`` of the nearest members before it, as positions."""
-    out_a, out_b = [], []
-    for i in range(1, len(fps)):
-        apart = np.bitwise_count(fps[:i] ^ fps[i])
-        near = np.flatnonzero(apart <= max_distance)
-        if len(near) > fan:
-            near = near[np.argsort(apart[near], kind="stable")[:fan]]
-        out_a.append(near)
-        out_b.append(np.full(len(near), i))
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def _links(max_distance: int, fan: int = 0):
+def _links(max_distance: int):
     """Sorted rows (bucket, fp, rep) of one partition -> links (a, b) between representatives."""
 
     def found(bucket: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
@@ -204,7 +191,7 @@ def _links(max_distance: int, fan: int = 0):
             a.append(i)
             b.append(i + d)
         for at, n in zip(first[sizes > 8], sizes[sizes > 8]):
-            x, y = nearest(fps[at : at + n], max_distance, fan) if fan else forest(fps[at : at + n], max_distance)
+            x, y = forest(fps[at : at + n], max_distance)
             a.append(at + x)
             b.append(at + y)
         pairs = np.unique(np.sort(np.stack([reps[np.concatenate(a)], reps[np.concatenate(b)]], axis=1), axis=1), axis=0)
@@ -227,11 +214,8 @@ def _links(max_distance: int, fan: int = 0):
     return run
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TILE, fan: int = 0) -> DataFrame:
-    """Links (a, b) between the representatives of distinct fingerprints (fp, rep, or more fingerprints before rep).
-
-    They connect all that are near; with ``fan`` each member of a bucket brings that many links.
-    """
+def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between the representatives of distinct fingerprints (fp, rep); they connect all that are near."""
     keyed = distinct.where("rep IS NOT NULL").mapInArrow(_keyed, "key long, fp long, rep long")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
     rows = keyed.join(large, "key", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
@@ -239,7 +223,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TIL
     # a tile meets itself and every other tile of its bucket
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("own", "other").cast("long").alias("t1"), F.greatest("own", "other").cast("long").alias("t2"), "fp", "rep")
-    near = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_links(max_distance, fan), "a long, b long")
+    near = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_links(max_distance), "a long, b long")
     return near.distinct()
 
 
@@ -528,7 +512,14 @@ def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
     rows = keyed.repartition("h").sortWithinPartitions("h", "n", "rep")
     first = stored(rows.mapInArrow(_first_round(similarity), "a long, b long, h long, n int, place int"), "first")
     links = similar(stored(first.where("b IS NOT NULL").select("a", "b").distinct(), "pairs"), texts, similarity)
-    return components(links)
+    found = stored(components(links), "classes")
+    large = first.where("b IS NULL").select("h", "n", "place", F.col("a").alias("rep"))
+    if large.isEmpty():
+        return found
+    known = large.join(found, large["rep"] == found["node"], "left").select("h", "n", "place", "rep", F.coalesce("component", "rep").alias("component"))
+    rows = known.repartition("h").sortWithinPartitions("h", "n", "rep")
+    more = stored(rows.mapInArrow(_second_round(similarity), "a long, b long").distinct(), "more")
+    return components(links.unionByName(similar(more, texts, similarity)))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

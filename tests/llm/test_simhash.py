@@ -164,3 +164,26 @@ def test_appended_cut_and_edited_copies_all_go(spark):
     names, linked = brute_classes(texts)
     assert len(linked) > 100
     assert kept_of(spark, texts) == sorted(set(names))
+
+
+def test_orders_of_the_same_words(spark):
+    # equal bags of words tie in any fingerprint of words; a large bucket must still find each true copy
+    rng = np.random.default_rng(13)
+    w, line = [f"w{i}" for i in range(240)], " ".join(f"common{i}" for i in range(12))
+    texts = [f"{' '.join(rng.permutation(w))} {line}" for _ in range(60)]
+    for t in texts[:30]:
+        texts.append(t.replace("w7 ", "edited ", 1))
+    assert kept_of(spark, texts) == list(range(60))
+
+
+def test_large_buckets_meet_in_two_rounds(spark):
+    # one group of near copies, in which many pairs are just below 0.8
+    rng = np.random.default_rng(15)
+    base, texts = [f"b{k}" for k in range(100)], []
+    for i in range(80):
+        w = list(base)
+        for k in rng.choice(100, int(rng.integers(1, 5)), replace=False):
+            w[k] = f"e{i}k{k}"
+        texts.append(" ".join(w))
+    names, _ = brute_classes(texts)
+    assert kept_of(spark, texts) == sorted(set(names)) and 1 < len(set(names))
