@@ -268,8 +268,6 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = MA
 SAMPLED, OFTEN, COMMON = 16, 3, 100_000
 #: Members of a bucket that are all proposed to each other at once.
 SMALL = 8
-#: Shingles by which a pair is verified.
-SKETCH = 128
 #: Power of two of the bits that say which texts are in a candidate pair.
 BITMAP = 22
 
@@ -298,13 +296,11 @@ def unpacked(shingles: bytes) -> np.ndarray:
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the shingles that two texts have in common, by their smallest hashes (exact while these are all)."""
+    """Share of the distinct shingles that two texts have in common."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.unique(np.concatenate([a, b]))
-    if len(a) == SKETCH or len(b) == SKETCH:  # the smallest of the union, as far as both sketches reach
-        both = both[:SKETCH]
-    return float((np.isin(both, a) & np.isin(both, b)).mean())
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,14 +479,14 @@ def _in_pairs(bits):
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [resemblance(unpacked(x.as_py())[:SKETCH], unpacked(y.as_py())[:SKETCH]) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            keep = [resemblance(unpacked(x.as_py()), unpacked(y.as_py())) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts (whole, shingles) that share enough of their smallest shingles."""
+    """The pairs (a, b) of texts (whole, shingles) that share enough of their whole sets of shingles."""
     spark = texts.sparkSession
     low = F.col("id").bitwiseAND((1 << BITMAP) - 1)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select((low / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bit"))

@@ -176,6 +176,21 @@ def test_orders_of_the_same_words(spark):
     assert kept_of(spark, texts) == list(range(60))
 
 
+def test_verification_is_exact_for_long_texts(spark):
+    # appended words bring the similarity to just above and just below 0.8; a sample of the shingles cannot tell
+    rng = np.random.default_rng(14)
+    texts, want = [], []
+    for i in range(30):
+        w = [f"t{i}w{k}" for k in range(1004)]
+        want.append(len(texts))
+        texts.append(" ".join(w))
+        added = 250 + (i % 2)
+        if i % 2:
+            want.append(len(texts))
+        texts.append(" ".join(w + [f"t{i}x{k}" for k in range(added)]))
+    assert kept_of(spark, texts) == want
+
+
 def test_large_buckets_meet_in_two_rounds(spark):
     # one group of near copies, in which many pairs are just below 0.8
     rng = np.random.default_rng(15)
