@@ -14,8 +14,10 @@ Only windows that can meet leave a task: a bitmap of 2^``BITMAP`` bits, of fixed
 benchmark, holds the hashes of the items' windows. It lets a few strangers through, which the join drops,
 and loses nothing. Items and documents then meet in an ordinary join.
 
-Windows with more slots than words say nothing about a text and are left out on the items' side; an
-item of slots alone has no windows and is never found.
+A text has two readings: one with slots, and one without any. Windows meet in the readings that both sides have in
+common, and a leak is one in any of them; the figures are of the first one. Windows with more slots than words say
+nothing about a text and are left out on the items' side; the second reading has none, so that verbatim copies are
+found whatever they consist of.
 
 Defined results: null or empty texts have no windows. A null item_id is reported as null. Rows that repeat
 a doc_id are judged one by one and reported once for each item. Repeated items are one item per item_id.
@@ -46,7 +48,9 @@ NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*([%°a-zA-Z$€£]*)")
 OUTER = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~%$«»“”‘’…¿¡"
 
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
-_SLOT = [np.uint64(xxhash.xxh64_intdigest(x, 11)) for x in ("", "<number>", "<unit>", "<name>")]
+_SLOTS = np.array([xxhash.xxh64_intdigest(x, 11) for x in ("", "<number>", "<unit>", "<name>")], np.uint64)
+#: With slots, without.
+READINGS = 2
 
 
 class _Words(dict):
@@ -103,26 +107,33 @@ _table = _Table()
 worker_cache("templates", lambda: _table.__init__())
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash, kind) of each template word and the words themselves."""
+def readings(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(hash, kind) of each template word in each of the READINGS, as rows, and the words themselves."""
     words = (text or "").split()
     index = _table.index(words)
     if not len(index):
-        return np.empty(0, np.uint64), np.empty(0, np.int8), []
+        return np.empty((READINGS, 0), np.uint64), np.empty((READINGS, 0), np.int8), []
     hashes, kind, name, ends, real = (c[index] for c in _table.columns)
     first = np.append(True, ends[:-1])
     after_number = np.append(False, kind[:-1] == NUM)
     kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
-    kind = np.where(name & ~first & (kind == LITERAL), NAME, kind)
-    hashes = np.where(kind == LITERAL, hashes, np.array(_SLOT)[kind])
+    name = name & (kind == LITERAL)
+    kinds = np.stack([np.where(name & ~first, NAME, kind), np.zeros_like(kind)])
+    hashes = np.where(kinds == LITERAL, hashes, _SLOTS[kinds])
     stays = np.flatnonzero(real)
     if len(stays) < len(words):
-        return hashes[stays], kind[stays], [words[i] for i in stays]
-    return hashes, kind, words
+        return hashes[:, stays], kinds[:, stays], [words[i] for i in stays]
+    return hashes, kinds, words
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(hash, kind) of each template word in the first reading and the words themselves."""
+    hashes, kinds, words = readings(text)
+    return hashes[0], kinds[0], words
 
 
-SCHEMA = "h long, owner long, uid long, place int, size int, windows int, slots array<string>"
-_ARROW = pa.schema([("h", pa.int64()), ("owner", pa.int64()), ("uid", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("windows", pa.int32()), ("slots", pa.list_(pa.string()))])
+SCHEMA = "h long, owner long, uid long, place int, size int, readings int, windows array<int>, slots array<string>"
+_ARROW = pa.schema([("h", pa.int64()), ("owner", pa.int64()), ("uid", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("readings", pa.int32()), ("windows", pa.list_(pa.int32())), ("slots", pa.list_(pa.string()))])
 
 
 def _windows(sizes: list[int], bitmap: np.ndarray | None):
@@ -133,21 +144,29 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None):
         for batch in batches:
             held: list[list] = [[] for _ in _ARROW]
             for owner, uid, text in zip(*(batch.column(i) for i in range(3))):
-                hashes, kind, words = template(text.as_py())
+                hashes, kinds, words = readings(text.as_py())
                 for size in sizes if bitmap is not None else [min(WINDOW, len(words))]:
-                    if not size or len(hashes) < size:
+                    if not size or len(words) < size:
                         continue
-                    h = rolling(hashes, size)
+                    # the readings one after another; windows across two of them are cut off
+                    h = rolling(hashes.reshape(-1), size)
+                    h = np.append(h, np.zeros(size - 1, np.uint64)).reshape(READINGS, -1)[:, : len(words) - size + 1]
                     if bitmap is not None:
                         low = (h & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
-                        at = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                        taken = (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
                     else:
-                        slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
-                        at = np.flatnonzero(2 * (slots[size:] - slots[:-size]) <= size)
-                    for p in at.tolist():
-                        row = (h[p].astype(np.int64), owner.as_py(), uid.as_py(), p, size, len(at), [words[p + i] for i in np.flatnonzero(kind[p : p + size])])
-                        for to, value in zip(held, row):
-                            to.append(value)
+                        slots = np.cumsum(np.pad(kinds != LITERAL, ((0, 0), (1, 0))), axis=1)
+                        taken = 2 * (slots[:, size:] - slots[:, :-size]) <= size
+                    windows = taken.sum(axis=1).tolist()
+                    for p in np.flatnonzero(taken.any(axis=0)).tolist():
+                        same: dict[int, int] = {}  # equal readings are one row
+                        for r in np.flatnonzero(taken[:, p]).tolist():
+                            same[int(h[r, p])] = same.get(int(h[r, p]), 0) | 1 << r
+                        for mask in same.values():
+                            r = (mask & -mask).bit_length() - 1
+                            row = (h[r, p].astype(np.int64), owner.as_py(), uid.as_py(), p, size, mask, windows, [words[p + i] for i in np.flatnonzero(kinds[r, p : p + size])])
+                            for to, value in zip(held, row):
+                                to.append(value)
                 if len(held[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(held, _ARROW)], schema=_ARROW)
                     held = [[] for _ in _ARROW]
@@ -174,12 +193,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, con
     items = stored(items.mapInArrow(_windows([], None), SCHEMA), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     docs = documents.select(F.col("doc_id").cast("long").alias("owner"), row_uid("doc_id", "text").alias("uid"), "text")
-    found = docs.mapInArrow(_windows(sizes, bitmap_of(items)), SCHEMA).select("h", "size", F.col("owner").alias("doc_id"), "uid", "place", "slots")
-    theirs = items.select("h", "size", F.col("owner").alias("item_id"), F.col("place").alias("item_place"), "windows", F.col("slots").alias("item_slots"))
+    found = docs.mapInArrow(_windows(sizes, bitmap_of(items)), SCHEMA).select("h", "size", F.col("owner").alias("doc_id"), "uid", "place", F.col("readings").alias("ours"), "slots")
+    theirs = items.select("h", "size", F.col("owner").alias("item_id"), F.col("place").alias("item_place"), "readings", "windows", F.col("slots").alias("item_slots"))
     met = found.join(theirs, ["h", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
-    met = stored(met.drop("h", "size"), "met")
+    met = met.withColumn("readings", F.col("readings").bitwiseAND(F.col("ours"))).where("readings <> 0")
+    met = stored(met.drop("h", "size", "ours"), "met")
+    each = F.filter(F.sequence(F.lit(0), F.lit(READINGS - 1)), lambda r: F.expr("readings").bitwiseAND(F.pow(F.lit(2), r).cast("int")) != 0)
+    met = met.withColumn("reading", F.explode(each)).withColumn("windows", F.get("windows", F.col("reading")))
     # windows of an item found anywhere in the document
-    pair = ["doc_id", "uid", "item_id"]
+    pair = ["doc_id", "uid", "item_id", "reading"]
     cover = met.groupBy(*pair).agg(F.count_distinct("item_place").cast("long").alias("matched"), F.max("windows").cast("long").alias("windows"), F.min("place").cast("long").alias("first_word"))
     cover = cover.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
     # along an alignment each value of the item stands for one value of the document
@@ -188,6 +210,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, con
     values = slots.groupBy(*pair, "shift", "theirs").agg(F.min("ours").alias("least"), F.max("ours").alias("most"))
     agree = values.groupBy(*pair).agg(F.avg((F.col("least") == F.col("most")).cast("double")).alias("agree"), F.max((F.col("theirs") != F.col("least")) | (F.col("least") != F.col("most"))).alias("changed"))
     key = [cover[c].eqNullSafe(agree[c]) for c in pair]
-    joined = cover.join(agree, key[0] & key[1] & key[2], "left").select(*(cover[c] for c in pair), "matched", "windows", "coverage", "first_word", F.coalesce("agree", F.lit(1.0)).alias("slot_consistency"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
+    joined = cover.join(agree, key[0] & key[1] & key[2] & key[3], "left").select(*(cover[c] for c in pair), "matched", "windows", "coverage", "first_word", F.coalesce("agree", F.lit(1.0)).alias("slot_consistency"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
     kept = joined.where(F.col("slot_consistency") >= consistency)
-    return kept.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("matched", "windows", "coverage", "slot_consistency")), F.min("reparameterised").alias("reparameterised"), F.min("first_word").alias("first_word"))
+    # of each leak the first reading that shows it
+    first = lambda of, c: F.coalesce(*(of(F.when(F.col("reading") == r, F.col(c))) for r in range(READINGS))).alias(c)
+    return kept.groupBy("doc_id", "item_id").agg(*(first(F.max, c) for c in ("matched", "windows", "coverage", "slot_consistency")), first(F.min, "reparameterised"), first(F.min, "first_word"))

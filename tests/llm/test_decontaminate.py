@@ -85,3 +85,11 @@ def test_empty_null_and_repeated(spark):
     assert set(got) == {(None, 2), (3, 2)}
     with pytest.raises(ValueError):
         run(spark, [], coverage=0)
+
+
+def test_items_of_slots_are_found_verbatim(spark):
+    items = [(1, "Compute 348 x 27 + 19"), (2, "The Great Gatsby Was Written By Scott Fitzgerald"), (3, "12 40 7 88 3 15 21 9 64 2 71"), (4, "Compute 512 x 33 + 18")]
+    docs = [(10 + i, f"{filler(60, i)} {t} {filler(40, 50 + i)}") for i, t in items[:3]] + [(20, f"{filler(60, 9)}. {items[1][1]}, {filler(9, 8)}"), (21, filler(400, 10)), (22, "1 12 40 9 8")]
+    got = run(spark, docs, items)
+    assert set(got) == {(11, 1), (12, 2), (13, 3), (20, 2)}
+    assert all(r["coverage"] >= 0.5 and not r["reparameterised"] for r in got.values())
