@@ -14,10 +14,11 @@ Only windows that can meet leave a task: a bitmap of 2^``BITMAP`` bits, of fixed
 benchmark, holds the hashes of the items' windows. It lets a few strangers through, which the join drops,
 and loses nothing. Items and documents then meet in an ordinary join.
 
-A text has two readings: one with slots, and one without any. Windows meet in the readings that both sides have in
-common, and a leak is one in any of them; the figures are of the first one. Windows with more slots than words say
-nothing about a text and are left out on the items' side; the second reading has none, so that verbatim copies are
-found whatever they consist of.
+A capital says little about a word that may begin a sentence, and nothing in a text in lower case. So a text has
+four readings: names are capitalised words inside sentences, or all capitalised words, or none, and the last one
+has no slots at all. Windows meet in the readings that both sides have in common, and a leak is one in any of them;
+the figures are of the first one. Windows with more slots than words say nothing about a text and are left out
+on the items' side; the last reading has none, so that verbatim copies are found whatever they consist of.
 
 Defined results: null or empty texts have no windows. A null item_id is reported as null. Rows that repeat
 a doc_id are judged one by one and reported once for each item. Repeated items are one item per item_id.
@@ -49,8 +50,8 @@ OUTER = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~%$«»“”‘’…¿¡"
 
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 _SLOTS = np.array([xxhash.xxh64_intdigest(x, 11) for x in ("", "<number>", "<unit>", "<name>")], np.uint64)
-#: With slots, without.
-READINGS = 2
+#: Names inside sentences, all capitalised words, no names, no slots.
+READINGS = 4
 
 
 class _Words(dict):
@@ -118,7 +119,7 @@ def readings(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     after_number = np.append(False, kind[:-1] == NUM)
     kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
     name = name & (kind == LITERAL)
-    kinds = np.stack([np.where(name & ~first, NAME, kind), np.zeros_like(kind)])
+    kinds = np.stack([np.where(name & ~first, NAME, kind), np.where(name, NAME, kind), kind, np.zeros_like(kind)])
     hashes = np.where(kinds == LITERAL, hashes, _SLOTS[kinds])
     stays = np.flatnonzero(real)
     if len(stays) < len(words):

@@ -93,3 +93,19 @@ def test_items_of_slots_are_found_verbatim(spark):
     got = run(spark, docs, items)
     assert set(got) == {(11, 1), (12, 2), (13, 3), (20, 2)}
     assert all(r["coverage"] >= 0.5 and not r["reparameterised"] for r in got.values())
+
+
+def test_short_items_after_a_heading_and_in_lower_case(spark):
+    items = [(1, "Which planet is closest to the sun?"), (2, "Tom and Mary met Peter and Paul near Berlin before Anna drove to Paris with Hugo"), (3, "Which train with 12 people leaves for Rome?")]
+    docs = [
+        (10, f"{filler(40, 1)} General knowledge quiz\n{items[0][1]} {filler(20, 2)}"),
+        (11, f"{filler(40, 3)}, {items[0][1]}"),
+        (12, f"{filler(40, 4)} - {items[0][1].lower()}"),
+        (13, f"{filler(40, 5)} {items[1][1].lower()} {filler(20, 6)}"),
+        (14, f"{filler(40, 7)} Quiz\nWhich train with 90 people leaves for Oslo? {filler(20, 8)}"),
+        (15, f"{filler(40, 9)} which train with 90 people leaves for rome?"),
+        (16, "Which moon is closest to the sun? Which planet"),
+    ]
+    got = run(spark, docs, items)
+    assert set(got) == {(10, 1), (11, 1), (12, 1), (13, 2), (14, 3), (15, 3)}
+    assert {k for k, r in got.items() if r["reparameterised"]} == {(14, 3), (15, 3)}
