@@ -293,10 +293,18 @@ def _(spark, sf):
     return query.unseen(rows.select("id"), rows.where(F.col("tags")["k"].cast("int") >= 50), "id")
 
 
+def _line_duplicates(rows: DataFrame) -> DataFrame:
+    return integrity.duplicate_ids(rows.select(F.concat(F.lit("s"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("key"), F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_partkey").alias("entry_index")))
+
+
 @register("duplicate_ids", "SELECT key, 'DUPLICATE_RECORD: ' || id || ' also in ' || before AS issue FROM (SELECT 's' || lpad(l_linenumber::VARCHAR, 2, '0') AS key, 'r' || l_orderkey AS id, lag('s' || lpad(l_linenumber::VARCHAR, 2, '0')) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem WHERE l_orderkey < 2000) WHERE before IS NOT NULL")
 def _(spark, sf):
-    rows = adapters.table(spark, sf, "lineitem").where("l_orderkey < 2000")
-    return integrity.duplicate_ids(rows.select(F.concat(F.lit("s"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("key"), F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_partkey").alias("entry_index")))
+    return _line_duplicates(adapters.table(spark, sf, "lineitem").where("l_orderkey < 2000"))
+
+
+@register("duplicate_ids_all", "SELECT key, 'DUPLICATE_RECORD: ' || id || ' also in ' || before AS issue FROM (SELECT 's' || lpad(l_linenumber::VARCHAR, 2, '0') AS key, 'r' || l_orderkey AS id, lag('s' || lpad(l_linenumber::VARCHAR, 2, '0')) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem) WHERE before IS NOT NULL")
+def _(spark, sf):
+    return _line_duplicates(adapters.table(spark, sf, "lineitem"))
 
 
 @register("invalid_records", "SELECT id FROM (SELECT event_type || '!' || event_id AS id FROM events WHERE event_id % 3 = 0)")
