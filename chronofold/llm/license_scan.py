@@ -81,14 +81,22 @@ def votes(documents: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
 
 
 def spans(voted: DataFrame, coverage: float = 0.7, slack: int = 4) -> DataFrame:
-    """uid, label, first and last word, coverage of each verified notice: neighbouring diagonals of a template merged."""
+    """uid, label, first and last word, coverage of each verified notice: neighbouring diagonals of a template merged.
+
+    Of a run that is too long for one notice (repeats, fragments) its best part stands: diagonals within ``slack``.
+    """
     of = Window.partitionBy("uid", "template").orderBy("diagonal")
+    part = of.rangeBetween(0, slack)
     apart = F.col("diagonal") - F.lag("diagonal").over(of) > slack
     runs = voted.where("NOT base").withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(of))
-    merged = runs.groupBy("uid", "template", "label", "size", "run").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("first"), (F.max("high") + 2).alias("last"))
-    merged = merged.withColumn("coverage", F.bit_count("mask") / F.col("size"))
+    # the part's length is at most the template's and the slack
+    runs = runs.withColumn("part", F.struct((F.bit_count(F.bit_or("mask").over(part)) / F.col("size")).alias("coverage"), F.min("low").over(part).alias("first"), (F.max("high").over(part) + 2).alias("last")))
+    merged = runs.groupBy("uid", "template", "label", "size", "run").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("first"), (F.max("high") + 2).alias("last"), F.max("part").alias("part"))
+    whole = F.struct((F.bit_count("mask") / F.col("size")).alias("coverage"), "first", "last")
     # a span that is far longer than its template is scattered words, not a notice
-    return merged.where((F.col("coverage") >= coverage) & (F.col("last") - F.col("first") + 1 <= 2 * (F.col("size") + 2) + slack)).select("uid", "label", "first", "last", "coverage")
+    fits = F.col("last") - F.col("first") + 1 <= 2 * (F.col("size") + 2) + slack
+    found = merged.select("uid", "label", F.when(fits, whole).otherwise(F.col("part")).alias("found")).where(F.col("found.coverage") >= coverage)
+    return found.select("uid", "label", "found.first", "found.last", "found.coverage")
 
 
 def scan(documents: DataFrame, coverage: float = 0.7, slack: int = 4) -> DataFrame:

@@ -47,3 +47,10 @@ def test_repeated_null_and_empty(spark):
     assert ls.scan(spark.createDataFrame([], schema)).count() == 0
     rows = spark.createDataFrame([(None, "cc by x", 1, "")] * 2 + [(1, "cc by x", 1, ""), (1, "all rights reserved", 2, None)], schema)
     assert sorted((r["doc_id"] or 0, r["n_base"], r["labels"]) for r in ls.scan(rows).collect()) == [(0, 1, "cc-by"), (0, 1, "cc-by"), (1, 1, "cc-by"), (1, 1, "reserved")]
+
+
+def test_notices_that_repeat_or_stand_amid_their_fragments(spark):
+    notice, gpl = "Creative Commons Attribution NonCommercial ", "GNU Lesser General Public License "
+    got = check(spark, [notice, notice * 2, notice * 4, notice * 40, gpl * 9, "Creative Commons Attribution x " * 9 + notice + "Commons Attribution NonCommercial " * 9, "creative commons " * 40])
+    assert [got[i]["labels"] for i in range(7)] == ["cc-by-nc"] * 4 + ["gpl,lgpl", "cc-by-nc", ""]
+    assert all(got[i]["score"] == 1 for i in range(6))
