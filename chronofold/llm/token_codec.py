@@ -2,8 +2,8 @@
 
 1. Texts are ordered by doc_id (range partitions, sorted within) and encoded by the tokenizer; the end
    id follows each text. The ids go to the shared folder once, as the code needs their global counts.
-2. The counts are summed over all ids (one row per id of the vocabulary reaches the driver), the code
-   lengths come from package-merge under ``LIMIT`` bits, the codes are canonical: the lengths alone,
+2. Each task counts its ids in packed arrays, which are summed in two levels (the vocabulary's counts reach
+   the driver), the code lengths come from package-merge under ``LIMIT`` bits, the codes are canonical: the lengths alone,
    written beside the data, define them.
 3. Ids are written in frames of whole texts. A frame holds a bit stream, cut into blocks of ``BLOCK``
    ids, and the bit offset of each block; blocks are decoded independently of each other by table, all
@@ -14,8 +14,8 @@ store): ``codebook`` has (id, length); ``frames/part=N`` has, in ascending order
 (start, doc_ids, n_tokens, offsets, payload): the number of ids before the frame, its texts' ids and
 token counts, the bit offset of each block, and the stream, most significant bit first.
 
-The tokenizer is applied to each distinct word of a partition once: its rules never look across white
-space, so that words can be encoded apart. Texts are whole however long.
+A tokenizer whose rules never look across white space (``encodes_by_word`` compares them) is applied to each
+distinct word of a worker once; any other encodes whole texts. Texts are whole however long.
 
 Defined results: null text counts as empty (the end id alone). A null doc_id sorts first. Rows that
 repeat a doc_id are all kept, in order of their texts' hash. An empty table gives a codebook and frames
@@ -24,14 +24,15 @@ without rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,10 @@ from chronofold.llm.common import scratch, stored, worker_cache, working_for
 LIMIT = 16
 #: Ids of a block, and ids after which a frame ends.
 BLOCK, FRAME = 256, 1 << 18
-#: Distinct pieces of words that a worker holds before it starts anew.
-CACHED_PIECES = 600_000
-#: Characters of the texts that are encoded at once.
-CHUNK = 4_000_000
+#: Distinct words that a worker holds before it forgets those met least.
+CACHED_WORDS = 600_000
+#: Bytes of the texts that are encoded at once.
+CHUNK = 8_000_000
 
 
 # the code
@@ -146,11 +147,41 @@ def _grown(array: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)]) if len(array) < n else array
 
 
+class _WordIndex(dict):
+    """word -> its number; words met for the first time are listed until they are learned."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+#: The rules under which words can be encoded apart: the tokenizer's normaliser, cuts and marks of a word's end.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "truncation": None,
+}
+#: Settings of the model that WORD_RULES go with.
+WORD_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+
+
+def encodes_by_word(rules: dict) -> bool:
+    """Whether a tokenizer file's rules are those under which a text's ids are its words' ids, one after another."""
+    marks = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in rules.get("added_tokens", ()))
+    return marks and all(rules.get(k) == v for k, v in WORD_RULES.items()) and all(rules["model"].get(k) == v for k, v in WORD_MODEL.items())
+
+
 class WordEncoder:
-    """Ids of texts, with each distinct word of a call cut, and each distinct piece encoded, once.
+    """Ids of texts, with each distinct word encoded once by a worker.
 
-    A word of letters with ASCII marks after it is two pieces, its letters and the marks, as the tokenizer
-    always cuts there; any other word is one piece.
+    A word of letters with ASCII marks after it is its letters' ids and the marks', as the tokenizer always
+    cuts there. A tokenizer with other rules (``encodes_by_word``) encodes whole texts.
     """
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -160,16 +191,34 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = encodes_by_word(json.load(f))
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.pieces: dict[str, int] = {"": 0}
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.flat, self.filled = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32), 0
+        self.words = _WordIndex()
+        self.starts, self.sizes, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int64)
+        self.flat, self.filled = np.zeros(1 << 16, self.kind), 0
+
+    def _forget(self) -> None:
+        """Keep the half of the words that were met most, and more than once."""
+        n = len(self.words)
+        least = max(2, int(np.partition(self.used[:n], n // 2)[n // 2]) + 1)
+        keep = np.flatnonzero(self.used[:n] >= least)
+        old = list(self.words)
+        flat, ends = self._gathered(keep)
+        sizes, used = self.sizes[keep], self.used[keep]
+        self._clear()
+        self.words.update(zip([old[i] for i in keep.tolist()], range(len(keep))))
+        for name, values in (("starts", ends - sizes), ("sizes", sizes), ("used", used), ("flat", flat)):
+            setattr(self, name, _grown(getattr(self, name), len(values)))
+            getattr(self, name)[: len(values)] = values
+        self.filled = len(flat)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -186,72 +235,75 @@ class WordEncoder:
                 out += self._whole(group)
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of the pieces that are new."""
-        new = [x for x in dict.fromkeys(pieces) if x not in self.pieces]
-        letters = [x for x in new if x.isalpha() and not x.isascii()]
-        rest = [x for x in new if not x.isalpha()]
+    def _pieces(self, pieces: list[str]) -> dict[str, list[int]]:
+        """Ids of distinct pieces: words of letters, and whatever else."""
+        letters = [x for x in pieces if x.isalpha() and not x.isascii()]
+        rest = [x for x in pieces if not x.isalpha()]
         # to ASCII letters no rule applies but lower case and the model's
         model = self.tokenizer.model
-        of = {x: [t.id for t in model.tokenize(x.lower())] for x in new if x.isascii() and x.isalpha()}
+        of = {x: [t.id for t in model.tokenize(x.lower())] for x in pieces if x.isascii() and x.isalpha()}
         of |= dict(zip(letters, self._stems(letters)))
         of |= dict(zip(rest, self._whole(rest) if rest else ()))
-        found, first = [of[x] for x in new], len(self.pieces)
-        self.pieces.update(zip(new, range(first, first + len(new))))
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(sizes.sum())
-        self.flat = _grown(self.flat, self.filled + total)
-        self.starts, self.sizes = _grown(self.starts, len(self.pieces)), _grown(self.sizes, len(self.pieces))
-        self.flat[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(found), self.flat.dtype, total)
-        self.starts[first : len(self.pieces)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[first : len(self.pieces)] = sizes
-        self.filled += total
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) > CACHED_PIECES:
-            self._clear()
-        split = [_words(t) for t in texts]
-        words = list(chain.from_iterable(split))
-        own = dict.fromkeys(words)
-        heads = list(own)
-        own.update(zip(heads, range(len(heads))))
-        index = np.fromiter(map(own.__getitem__, words), np.int32, len(words))
-        # words with marks at their end: the letters stay, the marks are pieces of their own
-        marked, tails = [], []
-        for i in [i for i, w in enumerate(heads) if not w.isalpha()]:
-            stem = heads[i].rstrip(self.MARKS)
-            if stem.isalpha():
-                marked.append(i)
-                tails.append(heads[i][len(stem) :])
-                heads[i] = stem
-        self._learn(heads)
-        self._learn(tails)
-        at = self.pieces.__getitem__
-        pair = np.zeros((len(heads), 2), np.int32)
-        pair[:, 0] = np.fromiter(map(at, heads), np.int32, len(heads))
-        pair[marked, 1] = np.fromiter(map(at, tails), np.int32, len(tails))
-        pieces = pair[index].reshape(-1)
-        sizes = self.sizes[pieces]
+        return of
+
+    def _add(self, sizes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """Note the ids of the words with these numbers, one word's after another's."""
+        self.flat = _grown(self.flat, self.filled + len(ids))
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.starts[at] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[at] = sizes
+        self.filled += len(ids)
+
+    def _gathered(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their numbers, and where each word's end."""
+        sizes = self.sizes[index]
         ends = np.cumsum(sizes, dtype=np.int64)
-        ids = self.flat[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        # where each text's words end, in pieces and so in ids
-        cut = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
+        return self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _learn(self) -> None:
+        """Ids of the words that are new. Letters with marks after them take the ids of either, which are words too."""
+        first, met = len(self.words) - len(self.words.new), list(self.words.new)
+        marked, parts, number = [], [], self.words.__getitem__
+        for i, w in enumerate(met, first):
+            if not w.isalpha():
+                stem = w.rstrip(self.MARKS)
+                if stem and len(stem) < len(w) and stem.isalpha():
+                    marked.append(i)
+                    parts += (number(stem), number(w[len(stem) :]))
+        new, self.words.new = self.words.new, []
+        if not new:
+            return
+        whole = np.ones(len(new), bool)
+        whole[np.array(marked, np.int64) - first] = False
+        plain = np.flatnonzero(whole)
+        self.starts, self.sizes, self.used = (_grown(x, len(self.words)) for x in (self.starts, self.sizes, self.used))
+        of = self._pieces([new[i] for i in plain.tolist()])
+        found = [of[new[i]] for i in plain.tolist()]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        self._add(sizes, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), plain + first)
+        if marked:
+            ids, ends = self._gathered(np.array(parts))
+            self._add(np.diff(ends[1::2], prepend=0).astype(np.int32), ids, np.array(marked))
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_word:
+            return [np.array(x, self.kind) for x in self._whole(texts.to_pylist())]
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        # what stands between ASCII white space, with empty words at the texts' edges, which have no ids
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        own = np.fromiter(map(self.words.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        self._learn()
+        index = own[words.indices.to_numpy()]
+        self.used[: len(self.words)] += np.bincount(index, minlength=len(self.words))
+        ids, ends = self._gathered(index)
+        # where each text's words end, in words and so in ids
+        cut = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
 
-#: Characters beyond ASCII white space at which str.split() cuts too.
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _words(text: str) -> list[str]:
-    """What stands between ASCII white space, in lower case where that is ASCII's alone and no special token can arise."""
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
-    if _OTHER_SPACE.search(text):
-        return [w for w in re.split(r"[\x20\t-\r]+", text) if w]
-    return text.split()
-
-
 _encoders: dict[str, WordEncoder] = {}
 worker_cache("tokens", lambda: _encoders.clear())
 
@@ -264,9 +316,11 @@ def _encoder(path: str) -> WordEncoder:
 
 # the jobs
 
-#: Texts with their ids; each part's last row has, in place of a text, the counts of its ids.
-TOKENS = "part int, doc_id long, local long, n long, ids binary, counts map<long,long>"
-_TOKENS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.map_(pa.int64(), pa.int64()))])
+#: Ids of which the counts make one row.
+COUNTED = 1024
+#: Texts with their ids; after them each part has, in place of texts, rows with the counts of ``COUNTED`` ids each.
+TOKENS = "part int, doc_id long, local long, n long, ids binary, chunk int, counts binary"
+_TOKENS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 FRAMES = "part int, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
@@ -274,30 +328,53 @@ def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_for("tokens")
         part, before, encoder = TaskContext.get().partitionId(), 0, _encoder(path)
-        counts = np.zeros(max(encoder.size, end_id + 1), np.int64)
+        size = max(encoder.size, end_id + 1)
+        counts = np.zeros(-(-size // COUNTED) * COUNTED, np.int64)
+        end = np.array([end_id], "<u2" if size <= 1 << 16 else "<u4")
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
+            doc_ids, texts = batch.column(0), batch.column(1).fill_null("")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
             i = 0
             while i < batch.num_rows:
-                chunk, size, j = [], 0, i
-                while j < batch.num_rows and (not chunk or size < CHUNK):
-                    chunk.append(texts[j].as_py() or "")
-                    size += len(chunk[-1])
-                    j += 1
-                ids = [np.append(x, x.dtype.type(end_id)) for x in encoder.encode(chunk)]
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CHUNK)))
+                ids = [np.concatenate([x.astype(end.dtype, copy=False), end]) for x in encoder.encode(texts.slice(i, j - i))]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 local = before + np.cumsum(n) - n
                 before += int(n.sum())
                 counts += np.bincount(np.concatenate(ids), minlength=len(counts))
-                kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), doc_ids[i:j], pa.array(local), pa.array(n), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), _TOKENS.field("counts").type)], schema=_TOKENS)
+                own = [pa.array(np.full(len(ids), part, np.int32)), doc_ids[i:j], pa.array(local), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(ids), t) for t in _TOKENS.types[5:])], schema=_TOKENS)
                 i = j
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pylist([{"part": part, "counts": list(zip(used.tolist(), counts[used].tolist()))}], schema=_TOKENS)
+        blocks = counts.reshape(-1, COUNTED)
+        used = np.flatnonzero(blocks.any(axis=1))
+        own = [pa.array(used.astype(np.int32)), pa.array([blocks[k].astype("<i8").tobytes() for k in used], pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), part, np.int32)), *(pa.nulls(len(used), t) for t in _TOKENS.types[1:5]), *own], schema=_TOKENS)
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, counts) -> one row for each chunk of the task, with the sum of its counts."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts.as_py(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+
+def global_counts(found: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the parts' count rows: summed by chunk and a 64th of the parts, then by chunk."""
+    schema = "chunk int, counts binary"
+    rows = found.where("chunk IS NOT NULL").withColumn("of", F.pmod("part", F.lit(64)))
+    some = rows.repartition("chunk", "of").select("chunk", "counts").mapInArrow(_summed, schema)
+    # what reaches the driver is the vocabulary's counts, whatever the corpus
+    total = {r["chunk"]: np.frombuffer(r["counts"], "<i8") for r in some.repartition("chunk").mapInArrow(_summed, schema).collect()}
+    counts = np.zeros((max(total, default=-1) + 1, COUNTED), np.int64)
+    for chunk, part in total.items():
+        counts[chunk] = part
+    return counts.reshape(-1)
+
+
 def _ids(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.int64)
 
@@ -355,19 +432,17 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, path: str, end_id: i
     """Write the files of documents(doc_id, text) below path (see the module)."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # by the texts' hash too, so that a repeated doc_id is cut as well
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_tokenised(tokenizer_path, end_id), TOKENS), "tokens")
-    tokens = found.where("counts IS NULL").drop("counts")
-    # one row per partition and one per id of the vocabulary reach the driver
+    tokens = found.where("chunk IS NULL").drop("chunk", "counts")
+    # one row per partition reaches the driver
     parts = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before, total = {}, 0
     for part, n in parts:
         before[part], total = total, total + n
-    counted = found.where("counts IS NOT NULL").select(F.explode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
-    for r in counted:
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts, limit)
+    lengths = code_lengths(global_counts(found), limit)
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(rows, "id long, length int").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
     frames = tokens.mapInArrow(_framed(lengths, before), FRAMES)

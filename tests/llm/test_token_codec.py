@@ -65,6 +65,35 @@ def test_word_encoder_equals_the_tokenizer_on_any_text(texts):
     assert [x.tolist() for x in encoder().encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_rules_mean_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    own = tc.WordEncoder(path)
+    assert own.by_word == name.startswith("word")
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    assert [x.tolist() for x in own.encode([t or "" for t in TEXTS])] == want
+
+
+def test_words_that_are_forgotten_are_learned_again(monkeypatch):
+    monkeypatch.setattr(tc, "CACHED_WORDS", 30)
+    own = tc.WordEncoder(PATH)
+    for k in range(30):
+        texts = [f"the the, and and; word{k} {'abc' * (k % 5)}. x{k}", t if (t := TEXTS[k % len(TEXTS)]) else "", "the and abcabc"]
+        assert [x.tolist() for x in own.encode(texts)] == [plain_cached().encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.words) < 100
+
+
+def test_counts_of_all_parts_are_summed(spark):
+    rows = [(i, "the cat " * (i % 7 + 1)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = docs.mapInArrow(tc._tokenised(PATH, 1), tc.TOKENS)
+    counts = tc.global_counts(found)
+    want = np.bincount([i for _, t in rows for i in [*plain_cached().encode(t, add_special_tokens=False).ids, 1]], minlength=len(counts))
+    assert counts.tolist() == want.tolist()
+
+
 _kept = {}
 
 
