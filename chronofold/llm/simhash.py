@@ -266,22 +266,24 @@ def near_duplicates(documents: DataFrame, words: int = 4, max_distance: int = MA
 
 #: One text of so many is read for the order of the shingles; in these texts a common one occurs so often; the list's length. They change the work, never the result.
 SAMPLED, OFTEN, COMMON = 16, 3, 100_000
-#: Members of a bucket that are all proposed to each other at once.
-SMALL = 8
-#: Power of two of the bits that say which texts are in a candidate pair.
-BITMAP = 22
+#: Members of a bucket that are all proposed to each other at once, and in which links are grown by estimate.
+SMALL, GROWN = 8, 256
+#: Members of a bucket's tile; a shingle that is expected in more texts than the second is spread over tasks from the start.
+PIECE, HOT = 512, 4096
+#: Power of two of the bits that say which texts are in a candidate pair, and of those of a text's parities.
+BITMAP, PARITY = 22, 10
+SHINGLE = (1 << 40) - 1
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
-    """A hash of the whole text's words, the number of its distinct shingles and their hashes (40 bits, as uint64, sorted)."""
+def signature(text: str | None, words: int = 5) -> tuple[int, bytes]:
+    """A 128-bit digest of the whole text's words, and the hashes of its distinct shingles (40 bits, as uint64, sorted)."""
     tokens = (text or "").encode().lower().split()
-    whole = xxhash.xxh64_intdigest(b" ".join(tokens), 1)
+    whole = xxhash.xxh3_128_intdigest(b" ".join(tokens), 1)
     if not tokens:
-        return whole, 0, b""
+        return whole, b""
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(t, 42) for t in tokens), np.uint64, len(tokens))
-    shingles = np.unique(rolling(hashes, min(words, len(tokens))) >> np.uint64(24))
-    return whole, len(shingles), shingles.tobytes()
+    return whole, np.unique(rolling(hashes, min(words, len(tokens))) >> np.uint64(24)).tobytes()
 
 
 def packed(shingles: bytes) -> bytes:
@@ -303,10 +305,24 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each value of the last bits of a hash, whether the set holds an odd number of such hashes.
+
+    Each shingle that only one of two sets has turns one bit, so the parities differ in no more bits than the sets
+    in shingles: what is proven to differ too much needs no comparison.
+    """
+    low = (shingles & np.uint64((1 << PARITY) - 1)).astype(np.int64)
+    return np.packbits(np.bincount(low, minlength=1 << PARITY) & 1, bitorder="little").view("<u8")
+
+
+def _signed64(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
 def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((xxhash.xxh64_intdigest(b" ".join((t.as_py() or "").encode().lower().split()), 1) for t in batch.column(2)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["uid", "doc_id", "whole"])
+        found = [xxhash.xxh3_128_intdigest(b" ".join((t.as_py() or "").encode().lower().split()), 1) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed64([f >> 64 for f in found]), _signed64([f & (1 << 64) - 1 for f in found])], names=["uid", "doc_id", "high", "low"])
 
 
 def _sets(words: int):
@@ -315,8 +331,7 @@ def _sets(words: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 found = [signature(t.as_py(), words) for t in batch.column(0).slice(i, 1000)]
-                whole = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([whole, pa.array([packed(f[2]) for f in found], pa.binary())], names=["whole", "shingles"])
+                yield pa.RecordBatch.from_arrays([_signed64([f[0] >> 64 for f in found]), _signed64([f[0] & (1 << 64) - 1 for f in found]), pa.array([packed(f[1]) for f in found], pa.binary())], names=["high", "low", "shingles"])
 
     return run
 
@@ -327,19 +342,24 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unpacked(x.as_py()).view(np.int64))], names=["h"])
 
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """The commonest shingles of a sample of the texts, the rarest first."""
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of the texts, the rarest first, and in how many texts each is expected."""
     sample = texts.where(F.pmod(F.xxhash64("whole"), F.lit(SAMPLED)) == 0).select("shingles").mapInArrow(_exploded, "h long")
     counted = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    return np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64)[::-1].astype(np.uint64)
+    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()[::-1]
+    return np.array([r["h"] for r in rows], np.int64).astype(np.uint64), np.array([r["n"] for r in rows], np.int64) * SAMPLED
 
 
 def _prefixes(common, similarity: float):
-    """whole, shingles -> a row for each shingle of the text's prefix in the order of shingles, with its place."""
+    """whole, shingles -> a row for each shingle of the text's prefix in the order of shingles, with its place.
+
+    Rows of a shingle that is expected in very many texts bear a part of the text's number above the 40 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.argsort(common.value)
-        values = common.value[rank]
+        shingles, expected = common.value
+        rank = np.argsort(shingles)
+        values, parts = shingles[rank], -(-expected[rank] // HOT)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
@@ -349,10 +369,13 @@ def _prefixes(common, similarity: float):
                     n = len(own)
                     if not n:
                         continue
+                    k = n - math.ceil(similarity * n - 1e-9) + 1
                     if len(values):  # others by hash, then the common ones by frequency
                         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                        own = own[np.argsort(np.where(values[at] == own, rank[at], -1), kind="stable")]
-                    k = n - math.ceil(similarity * n - 1e-9) + 1
+                        known = values[at] == own
+                        first = np.argsort(np.where(known, rank[at], -1), kind="stable")[:k]
+                        spread = np.where(known & (parts[at] > 1), 1 + rep % parts[at], 0)[first].astype(np.uint64)
+                        own = own[first] | spread << np.uint64(40)
                     hashes.append(own[:k])
                     sizes.append(np.full(k, n, np.int32))
                     places.append(np.arange(k, dtype=np.int32))
@@ -369,55 +392,11 @@ def _may(n, place, i, j, similarity: float) -> np.ndarray:
     return np.minimum(n[i] - place[i], n[j] - place[j]) >= needed
 
 
-def _proposed(h, n, place, rep, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by h and n -> (a, b) as positions, and the rows of buckets whose members did not all meet.
-
-    Small buckets propose all their pairs. Others propose each member to one leader, the smallest text that can still
-    be similar to it; the rest of their pairs come when it is known which members that has linked.
-    """
-    new = np.append(True, h[1:] != h[:-1])
-    first, group = np.flatnonzero(new), np.cumsum(new)
-    sizes = np.diff(np.append(first, len(h)))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    small = np.repeat(sizes <= SMALL, sizes)
-    for d in range(1, SMALL):
-        i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(h) > d else np.empty(0, np.int64)
-        a.append(i)
-        b.append(i + d)
-    for at, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        while size > 1:
-            count = int(np.searchsorted(n[at : at + size], n[at] / similarity + 1e-6, "right"))
-            a.append(np.full(count - 1, at))
-            b.append(np.arange(at + 1, at + count))
-            at, size = at + count, size - count
-    a, b = np.concatenate(a), np.concatenate(b)
-    may = _may(n, place, a, b, similarity)
-    return a[may], b[may], np.flatnonzero(~small)
-
-
-def _left(h, n, place, rep, component, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows sorted by h -> (a, b): all pairs of a bucket whose members are not in one class yet."""
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    for at, end in zip(first.tolist(), np.append(first[1:], len(h)).tolist()):
-        names, which, counts = np.unique(component[at:end], return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            continue
-        # the largest class comes last: only the others look for partners
-        order = np.argsort(counts[which] * len(names) + which, kind="stable")
-        rows, classes = at + order, which[order]
-        for i in range(len(rows) - int(counts.max())):
-            j = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
-            x, y = np.full(len(j), rows[i]), rows[j]
-            may = _may(n, place, x, y, similarity)
-            if may.any():
-                yield x[may], y[may]
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows, cut between values of the first one."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))
@@ -430,39 +409,113 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _pairs(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.sort(np.stack([rep[a], rep[b]], axis=1), axis=1), axis=0)
+def _pairs(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.sort(np.stack([rep[a], rep[b]], axis=1), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _first_round(similarity: float):
-    """Sorted rows (h, n, place, rep) -> pairs (a, b), and rows of large buckets again with b null."""
+def _met(similarity: float):
+    """Sorted rows (h, n, place, rep) -> all pairs (a, b) of small buckets, and the rows of the others again with b null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n, place, rep in _buckets(batches):
-            a, b, rest = _proposed(h, n, place, rep, similarity)
-            pairs = _pairs(rep, a, b)
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none.cast(pa.int32()), none.cast(pa.int32())], names=["a", "b", "h", "n", "place"])
-            yield pa.RecordBatch.from_arrays([pa.array(rep[rest]), pa.nulls(len(rest), pa.int64()), pa.array(h[rest]), pa.array(n[rest]), pa.array(place[rest])], names=["a", "b", "h", "n", "place"])
+            new = np.append(True, h[1:] != h[:-1])
+            sizes = np.diff(np.append(np.flatnonzero(new), len(h)))
+            group, small = np.cumsum(new), np.repeat(sizes <= SMALL, sizes) & (h <= SHINGLE)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for d in range(1, SMALL):
+                i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(group) > d else np.empty(0, np.int64)
+                a.append(i)
+                b.append(i + d)
+            a, b = np.concatenate(a), np.concatenate(b)
+            may = _may(n, place, a, b, similarity)
+            pairs = _pairs(rep, a[may], b[may])
+            yield pa.RecordBatch.from_arrays([*pairs.columns, *(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "h", "n", "place"])
+            rest = np.flatnonzero(~small)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[rest]), pa.nulls(len(rest), pa.int64()), pa.array(h[rest] & SHINGLE), pa.array(n[rest]), pa.array(place[rest])], names=["a", "b", "h", "n", "place"])
 
     return run
 
 
-def _second_round(similarity: float):
-    """Sorted rows (h, n, place, rep, component) -> the pairs (a, b) that are left."""
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parities(unpacked(x.as_py())).tobytes() for x in batch.column(1)], pa.binary())], names=["whole", "parity"])
+
+
+def _differing(parity: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(parity[others] ^ parity[i]).sum(axis=1, dtype=np.int64)
+
+
+def likely(n: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as positions, of the links that the parities of the members of one bucket make likely."""
+    bits, left, out_a, out_b = 1 << PARITY, np.arange(len(n)), [], []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            # of d differing shingles about bits (1 - e^(-2 d / bits)) / 2 parities differ
+            free = 1 - 2 * _differing(parity, at, left) / bits
+            apart = np.where(free > 0.02, -bits / 2 * np.log(np.maximum(free, 0.02)), np.inf)
+            both = n[left] + n[at]
+            linked = both - apart >= similarity * (both + apart)
+            if linked.any():
+                out_a.append(np.full(int(linked.sum()), at))
+                out_b.append(left[linked])
+                queue += left[linked].tolist()
+                left = left[~linked]
+    none = np.empty(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+
+
+def _grown(similarity: float):
+    """Sorted rows (bucket, n, rep, parity) -> for each bucket a forest of likely links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n, place, rep, component in _buckets(batches):
-            held, rows = [], 0
-            for a, b in _left(h, n, place, rep, component, similarity):
-                held.append((a, b))
-                rows += len(a)
-                if rows > 500_000:
-                    pairs, held, rows = _pairs(rep, *(np.concatenate(x) for x in zip(*held))), [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for bucket, n, rep, parity in _buckets(batches):
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            bits, a, b = np.frombuffer(b"".join(parity), "<u8").reshape(len(n), -1), [], []
+            for at, end in zip(first.tolist(), np.append(first[1:], len(n)).tolist()):
+                x, y = likely(n[at:end], bits[at:end], similarity)
+                a.append(at + x)
+                b.append(at + y)
+            yield _pairs(rep, np.concatenate(a), np.concatenate(b))
+
+    return run
+
+
+def _left(n, place, own, component, parity, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): the pairs of one bucket, or of two of its tiles, that are in no class together and may be similar."""
+    names, which, counts = np.unique(component, return_inverse=True, return_counts=True)
+    # the largest class comes last: only the others look for partners
+    order = np.argsort(counts[which] * len(names) + which, kind="stable")
+    classes, two = which[order], own.min() != own.max()
+    for i in range(len(order) - int(counts.max())):
+        j = np.flatnonzero((classes[i + 1 :] != classes[i]) & ((own[order[i + 1 :]] != own[order[i]]) | (not two))) + i + 1
+        x, y = np.full(len(j), order[i]), order[j]
+        may = _may(n, place, x, y, similarity)
+        x, y = x[may], y[may]
+        if len(y):
+            both = n[x] + n[y]
+            may = _differing(parity, int(order[i]), y) <= both - 2 * np.ceil(both * (similarity / (1 + similarity)) - 1e-6)
+            yield x[may], y[may]
+
+
+def _rest(similarity: float):
+    """Sorted rows (bucket, own, n, place, rep, component, parity) -> the pairs (a, b) that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, own, n, place, rep, component, parity in _buckets(batches):
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            bits, held, rows = np.frombuffer(b"".join(parity), "<u8").reshape(len(n), -1), [], 0
+            for at, end in zip(first.tolist(), np.append(first[1:], len(n)).tolist()):
+                for a, b in _left(*(x[at:end] for x in (n, place, own, component, bits)), similarity):
+                    held.append((at + a, at + b))
+                    rows += len(a)
+                    if rows > 500_000:
+                        yield _pairs(rep, *(np.concatenate(x) for x in zip(*held)))
+                        held, rows = [], 0
             if held:
-                pairs = _pairs(rep, *(np.concatenate(x) for x in zip(*held)))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield _pairs(rep, *(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -470,8 +523,8 @@ def _second_round(similarity: float):
 def _in_pairs(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = batch.column(0).to_numpy() & ((1 << BITMAP) - 1)
-            yield batch.filter(pa.array((bits.value[low >> 6] >> (low & 63) & 1).astype(bool)))
+            low = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((bits.value[low >> 6] >> (low & 63) & 1).astype(bool)))
 
     return run
 
@@ -488,13 +541,14 @@ def _verified(similarity: float):
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts (whole, shingles) that share enough of their whole sets of shingles."""
     spark = texts.sparkSession
-    low = F.col("id").bitwiseAND((1 << BITMAP) - 1)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select((low / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bit"))
+    low = lambda c: F.xxhash64(c).bitwiseAND((1 << BITMAP) - 1)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(low("id").alias("id"))
+    ids = ids.select((F.col("id") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bit"))
     bits = np.zeros((1 << BITMAP) // 64, np.int64)
     for r in ids.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
         bits[r["at"]] = r["bits"]
     # a fixed bitmap keeps most texts that are in no pair out of the joins; the joins drop the rest
-    met = texts.select("whole", "shingles").mapInArrow(_in_pairs(spark.sparkContext.broadcast(bits)), "whole long, shingles binary")
+    met = texts.select("whole", "shingles", low("whole").alias("low")).mapInArrow(_in_pairs(spark.sparkContext.broadcast(bits)), "whole long, shingles binary")
     both = pairs.join(met.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(met.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_verified(similarity), "a long, b long"), "similar")
@@ -506,15 +560,26 @@ def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
     common = spark.sparkContext.broadcast(common_shingles(texts))
     keyed = texts.select("whole", "shingles").mapInArrow(_prefixes(common, similarity), "h long, n int, place int, rep long")
     rows = keyed.repartition("h").sortWithinPartitions("h", "n", "rep")
-    first = stored(rows.mapInArrow(_first_round(similarity), "a long, b long, h long, n int, place int"), "first")
-    links = similar(stored(first.where("b IS NOT NULL").select("a", "b").distinct(), "pairs"), texts, similarity)
+    first = stored(rows.mapInArrow(_met(similarity), "a long, b long, h long, n int, place int"), "first")
+    pairs, large = first.where("b IS NOT NULL").select("a", "b"), first.where("b IS NULL").select("h", "n", "place", F.col("a").alias("rep"))
+    sizes = large.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    parity = texts.select("whole", "shingles").mapInArrow(_parity_rows, "whole long, parity binary")
+    large = stored(large.join(sizes, "h").join(parity, F.col("rep") == F.col("whole")).drop("whole"), "large")
+    # links that are likely, grown in parts of the buckets; other shingles cut the same texts into other parts
+    part = F.xxhash64("h", F.pmod(F.xxhash64("h", "rep"), F.ceil(F.col("size") / GROWN))).alias("bucket")
+    rows = large.select(part, "n", "rep", "parity").repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
+    pairs = pairs.unionByName(rows.mapInArrow(_grown(similarity), "a long, b long")).distinct()
+    links = similar(stored(pairs, "pairs"), texts, similarity)
     found = stored(components(links), "classes")
-    large = first.where("b IS NULL").select("h", "n", "place", F.col("a").alias("rep"))
-    if large.isEmpty():
-        return found
-    known = large.join(found, large["rep"] == found["node"], "left").select("h", "n", "place", "rep", F.coalesce("component", "rep").alias("component"))
-    rows = known.repartition("h").sortWithinPartitions("h", "n", "rep")
-    more = stored(rows.mapInArrow(_second_round(similarity), "a long, b long").distinct(), "more")
+    # then all pairs of a bucket that the links have not put into one class, tile by tile
+    known = large.join(found, large["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    several = known.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("h")
+    rows = known.join(several, "h").withColumn("tiles", F.ceil(F.col("size") / PIECE).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    bucket = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")
+    rows = rows.select(bucket, "own", "n", "place", "rep", "component", "parity").repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
+    more = stored(rows.mapInArrow(_rest(similarity), "a long, b long").distinct(), "more")
     return components(links.unionByName(similar(more, texts, similarity)))
 
 
@@ -526,18 +591,27 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
     that much in common share one of the first n - ceil(similarity * n) + 1 of either, or else too few are left. The
     order puts the shingles last that are common in a sample of the texts, so that a repeated line does not bring
     its texts together. Texts meet in the buckets of these shingles if their sizes and places there allow the
-    similarity, and link if their whole sets have it: no pair is lost. Large buckets propose each member to a leader
-    first, and then all pairs whose members the links have not put into one class. Equal texts are one candidate. Null
-    doc_ids come last; of rows that are equal in doc_id and text one stays.
+    similarity, and link if their whole sets have it: no pair is lost. In large buckets a forest of the links that
+    the parities of the sets make likely is tried first, and then all pairs whose members the links have not put
+    into one class, but for those that the parities prove to differ too much. Equal texts are one candidate.
+
+    Null texts count as empty; texts without words are copies of each other. Null doc_ids come last; of rows that
+    are equal in doc_id and text one stays. An empty table gives no rows. All columns are kept, whatever their names.
     """
-    rows = documents.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    named = rows.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(named.mapInArrow(_wholes, "uid long, doc_id long, whole long"), "signatures")
-    sets = documents.select("text").mapInArrow(_sets(words), "whole long, shingles binary")
-    texts = stored(sets.groupBy("whole").agg(F.min("shingles").alias("shingles")), "texts")
-    found = similar_texts(texts, similarity)
-    classes = signed.join(found, signed["whole"] == found["node"], "left").withColumn("class", F.coalesce("component", "whole"))
+    own = {c: f"{c}_{k}" for k, c in enumerate(documents.columns)}  # no name of the caller's meets one of ours
+    rows = documents.withColumnsRenamed(own)
+    doc_id, text = F.col(own["doc_id"]), F.col(own["text"])
+    uid = F.xxhash64(doc_id, text)
+    signed = stored(rows.select(uid.alias("uid"), doc_id.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_wholes, "uid long, doc_id long, high long, low long"), "signatures")
+    sets = rows.select(text.alias("text")).mapInArrow(_sets(words), "high long, low long, shingles binary")
+    texts = sets.groupBy("high", "low").agg(F.min("shingles").alias("shingles"))
+    texts = stored(texts.withColumn("whole", F.monotonically_increasing_id()), "texts")
+    found = similar_texts(texts.select("whole", "shingles"), similarity)
+    classes = texts.select("high", "low", "whole").join(found, F.col("whole") == F.col("node"), "left")
+    classes = signed.join(classes.select("high", "low", F.coalesce("component", "whole").alias("class")), ["high", "low"])
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("first"))
-    stays = stored(first.select(F.col("first.uid").alias("__uid")), "stays")
-    copies = F.row_number().over(Window.partitionBy("__uid").orderBy(F.lit(1)))
-    return rows.join(stays, "__uid", "left_semi").withColumn("__copy", copies).where("__copy = 1").drop("__uid", "__copy")
+    stays = stored(first.select(F.col("first.uid").alias("kept_uid"), F.col("first.doc_id").alias("kept_doc_id")), "stays")
+    copies = F.row_number().over(Window.partitionBy(doc_id, "row_uid").orderBy(F.lit(1)))
+    rows = rows.withColumn("row_uid", uid)
+    kept = rows.join(stays, (F.col("row_uid") == F.col("kept_uid")) & doc_id.cast("long").eqNullSafe(F.col("kept_doc_id")), "left_semi")
+    return kept.withColumn("copy", copies).where("copy = 1").drop("row_uid", "copy").withColumnsRenamed({v: k for k, v in own.items()})

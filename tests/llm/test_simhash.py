@@ -126,7 +126,7 @@ def test_one_of_each_class(spark):
 
 def test_resemblance_is_exact_for_short_texts():
     a, b = "a b c d e f g h", "a b c d e f g x"
-    got = simhash.resemblance(*(np.frombuffer(simhash.signature(t)[2], np.uint64) for t in (a, b)))
+    got = simhash.resemblance(*(np.frombuffer(simhash.signature(t)[1], np.uint64) for t in (a, b)))
     assert got == pytest.approx(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)))
     assert simhash.resemblance(np.empty(0), np.empty(0)) == 1 and simhash.resemblance(np.empty(0), np.ones(1)) == 0
 
@@ -202,3 +202,39 @@ def test_large_buckets_meet_in_two_rounds(spark):
         texts.append(" ".join(w))
     names, _ = brute_classes(texts)
     assert kept_of(spark, texts) == sorted(set(names)) and 1 < len(set(names))
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(16)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 40, 400, dtype=np.uint64)
+        a, b = (np.unique(pool[rng.random(400) < p]) for p in rng.random(2))
+        differing = int(np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum())
+        assert differing <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("hot,piece,grown", [(4096, 512, 256), (16, 8, 4)])
+def test_buckets_cut_into_pieces_lose_no_pair(spark, monkeypatch, hot, piece, grown):
+    # a large group of near copies, copies at the edge of the similarity, and a passage that many texts share
+    for name, value in (("HOT", hot), ("PIECE", piece), ("GROWN", grown), ("SAMPLED", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(17)
+    words, passage = [f"w{i}" for i in range(500)], " ".join(f"p{i}" for i in range(40))
+    base, texts = rng.choice(words, 120).tolist(), []
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+            w[k] = f"e{i}k{k}"
+        texts.append(" ".join(w))
+    for i in range(40):
+        texts.append(f"{' '.join(rng.choice(words, int(rng.integers(10, 40))))} {passage}")
+    names, linked = brute_classes(texts)
+    assert len(linked) > 100 and kept_of(spark, texts) == sorted(set(names))
+    assert kept_of(spark, texts) == sorted(set(names))
+
+
+def test_any_column_names_and_equal_rows(spark):
+    rows = [(1, "a b c d e f g", 1, "x"), (1, "a b c d e f g", 1, "x"), (2, "A b c d e f g", 2, "y"), (3, None, 3, "z"), (None, "", 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid long, whole string").withColumnRenamed("whole", "row_uid")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]
