@@ -1,17 +1,17 @@
 """Language identification, word first: known words by log frequency, unseen words by shorter and shorter n-grams.
 
-Learning. From labelled rows a sample of at most ``sample`` documents is taken (those with the smallest
-hash of their doc_id; the bound is a parameter, prediction runs over every whole text). Spark counts the
-sample's words by language, with partial sums; at most ``vocabulary`` of them, the most frequent ones,
-reach the driver. The model holds for each of them the smoothed log frequency in each language, and the
-same for the character n-grams (``ORDER`` down to 1, with the word's edges marked) of all those words.
-
-Prediction. Words are maximal runs of letters, lower-cased. A known word scores its log frequencies. An
-unseen word backs off: the longest n for which any of its n-grams is known gives the mean of their log
-frequencies, weighted down with each step. A language's score is the mean over the text's words; the
-answer is the best language, ties go to the first by name. ``score`` is its share once the scores are
-turned into probabilities with the evidence of at most ``evidence`` words, so that it stays between 0 and
-1 and a long text does not make every answer certain.
+Learning. From labelled rows a sample of at most ``sample`` documents is taken (those with the smallest hash of
+doc_id and text, equal rows once; the bound is a parameter, prediction runs over every whole text). Spark counts
+the sample's words, and the character n-grams (``ORDER`` down to 1, with the word's edges marked) of all of them,
+by language with partial sums; the counts of the sample reach the driver. The model holds for each word and each
+n-gram the smoothed log frequency in each language.
+
+Prediction. Words are maximal runs of letters (Unicode categories L), lower-cased, however long. A known word
+scores its log frequencies. An unseen word backs off: the longest n for which any of its n-grams is known gives
+the mean of their log frequencies, weighted down with each step. A language's score is the mean over the text's
+words; the answer is the best language, ties go to the first by name. ``score`` is its share once the scores are
+turned into probabilities as if the text had ``evidence`` words at most, so that it stays between 0 and 1 and a
+long text does not make every answer certain.
 
 Defined results: null texts and texts without a letter are ``und`` with the score 0, as is every text if
 nothing was learned. Rows without a language, with null text or null doc_id are not learned from. Repeated
@@ -21,6 +21,7 @@ rows get equal answers. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,9 +36,9 @@ from chronofold.llm.common import stored, working_for
 
 UNDETERMINED = "und"
 ORDER = 5
-WORD = re.compile(r"[^\W\d_]+")
-#: Words longer than this are unseen by definition and judged by their n-grams.
-LONGEST = 40
+#: What counts as a word's character for the expression below and is no letter: fractions, Roman and circled numbers.
+_NUMERALS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()))
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 CACHED_WORDS = 200_000
 
 
@@ -71,33 +72,40 @@ class Model:
     def back_off(self, word: str) -> np.ndarray:
         for n in range(ORDER, 0, -1):
             table = self.grams[n]
-            known = [r for g in grams(word[: 10 * LONGEST], n) if (r := table.rows.get(g)) is not None]
+            known = [r for g in grams(word, n) if (r := table.rows.get(g)) is not None]
             if known:
                 return table.matrix[known].mean(axis=0) * self.penalty ** ((ORDER - n) / ORDER)
         return np.zeros(len(self.languages))
 
 
-def fit(counts: dict[str, dict[str, int]]) -> Model:
-    """Model of word -> language -> count. Frequencies are add-half smoothed and centred over the languages."""
-    languages = sorted({lang for by in counts.values() for lang in by})
+def fit(words: dict[str, dict[str, int]], by_n: dict[int, dict[str, dict[str, int]]] | None = None) -> Model:
+    """Model of word -> language -> count, and the same of the n-grams for each n (counted here if not given).
+
+    Frequencies are add-half smoothed and centred over the languages.
+    """
+    languages = sorted({lang for by in words.values() for lang in by})
     place = {lang: i for i, lang in enumerate(languages)}
 
-    def table(summed: dict[str, np.ndarray]) -> Table:
-        counted = np.array(list(summed.values())).reshape(len(summed), len(languages)) + 0.5
+    def table(counts: dict[str, dict[str, int]]) -> Table:
+        counted = np.full((len(counts), len(languages)), 0.5)
+        for i, by in enumerate(counts.values()):
+            for lang, n in by.items():
+                counted[i, place[lang]] += n
         logs = np.log(counted / counted.sum(axis=0))
-        return Table({k: i for i, k in enumerate(summed)}, logs - logs.mean(axis=1, keepdims=True))
-
-    words: dict[str, np.ndarray] = {}
-    by_n: dict[int, dict[str, np.ndarray]] = {n: defaultdict(lambda: np.zeros(len(languages))) for n in range(1, ORDER + 1)}
-    for word, by in counts.items():
-        row = np.zeros(len(languages))
-        for lang, n in by.items():
-            row[place[lang]] = n
-        words[word] = row
-        for n in range(1, ORDER + 1):
+        return Table({k: i for i, k in enumerate(counts)}, logs - logs.mean(axis=1, keepdims=True))
+
+    return Model(languages, table(words), {n: table(t) for n, t in (by_n or gram_counts(words)).items()})
+
+
+def gram_counts(words: dict[str, dict[str, int]]) -> dict[int, dict[str, dict[str, int]]]:
+    """n -> n-gram -> language -> count, of words with their counts by language."""
+    out: dict[int, dict[str, dict[str, int]]] = {n: defaultdict(lambda: defaultdict(int)) for n in range(1, ORDER + 1)}
+    for word, by in words.items():
+        for n, to in out.items():
             for g in grams(word, n):
-                by_n[n][g] += row
-    return Model(languages, table(words), {n: table(t) for n, t in by_n.items()})
+                for lang, count in by.items():
+                    to[g][lang] += count
+    return out
 
 
 class Scorer(dict):
@@ -133,31 +141,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+COUNTED = "lang string, size int, key string, n long"
+
+
+def _counted(found: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
+    lang, size, key = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(key, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "size", "key", "n"])
+
+
 def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, text -> counts of the words, as size 0."""
     for batch in batches:
-        found: dict[tuple[str, str], int] = defaultdict(int)
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            name = lang.as_py()
+        found: dict[tuple[str, int, str], int] = defaultdict(int)
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for word in WORD.findall(text.as_py().lower()):
-                if len(word) <= LONGEST:
-                    found[name, word] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+                found[lang, 0, word] += 1
+        yield _counted(found)
 
 
-def learn(labelled: DataFrame, sample: int = 4000, vocabulary: int = 60_000) -> Model:
-    """Model of labelled(doc_id, text, lang), fitted on at most ``sample`` rows' words (see the module)."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "lang", "text")
-    # the sample's bound is a hash, found on the ids alone; the texts stay where they are
-    cut = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, n -> counts of the n-grams of each size."""
+    for batch in batches:
+        found: dict[tuple[str, int, str], int] = defaultdict(int)
+        for lang, word, count in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for n in range(1, ORDER + 1):
+                for g in grams(word, n):
+                    found[lang, n, g] += count
+        yield _counted(found)
+
+
+def learn(labelled: DataFrame, sample: int = 4000) -> Model:
+    """Model of labelled(doc_id, text, lang), fitted on at most ``sample`` rows (see the module)."""
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")
+    # the sample's bound is a hash, found on the hashes alone; the texts stay where they are
+    cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
         return Model([])
-    words = rows.where(F.col("h") <= cut).select("lang", "text").mapInArrow(_sampled_words, "lang string, word string, n long")
-    words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    best = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary).select("word")
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in words.join(F.broadcast(best), "word").collect():
-        counts[r["word"]][r["lang"]] = r["n"]
-    return fit(counts)
+    once = rows.where(F.col("h") <= cut).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
+    total = lambda df: df.groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
+    words = stored(total(once.select("lang", "text").mapInArrow(_sampled_words, COUNTED)), "words")
+    found = total(words.select("lang", "key", "n").mapInArrow(_sampled_grams, COUNTED))
+    counts: dict[int, dict[str, dict[str, int]]] = {n: defaultdict(dict) for n in range(ORDER + 1)}
+    for r in words.unionByName(found).orderBy("size", "key", "lang").toLocalIterator():
+        counts[r["size"]][r["key"]][r["lang"]] = r["n"]
+    return fit(counts.pop(0), counts)
 
 
 def _predicted(shared, evidence: int, names: list[str]):
