@@ -1,7 +1,8 @@
 """Licence notices by diagonal voting, in DataFrame functions only.
 
 A document's words (lower-cased in ASCII; letters, digits and everything beyond ASCII) give rolling word
-grams, joined by their hash, and checked by their text, to the grams of the templates. Each match votes
+grams, joined by their hash, and checked by their text, to the grams of the templates (grams that begin with
+none of the templates' first words are left out before the join, as they can meet nothing). Each match votes
 for a template at the diagonal (place in the document less place in the template). Votes are summed by
 document, template and diagonal, with partial sums; diagonals at most ``slack`` apart, as inserted or
 missing words make them, are merged, and a merged run is a licence span if its grams cover at least
@@ -25,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import lower_ascii, row_uid
+from chronofold.llm.common import lower_ascii, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the contract.
@@ -68,16 +69,30 @@ def template_grams(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, str, boo
     return out
 
 
-def votes(documents: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """uid, template, label, base, size, diagonal, mask (of the template's grams), low and high (places) of each diagonal."""
-    spark: SparkSession = documents.sparkSession
+def placed(documents: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+    """uid (of the row), doc_id, n_words and grams (place, gram) of each row; the texts are read once.
+
+    Of the rolling grams those stay that begin with a word with which a template's gram begins: no other can meet one.
+    """
+    heads = sorted({gram.split(" ")[0] for *_, gram in template_grams(phrases, notices)})
+    words = documents.select(F.col("doc_id"), words_of(F.col("text")).alias("words"))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(heads))
+    word = lambda i: F.get("words", i)
+    # a missing word is no part of a gram, as concat_ws leaves nulls out
+    gram = lambda i: F.when(word(i).isin(*TWO), F.concat_ws(" ", word(i), word(i + 1))).otherwise(F.concat_ws(" ", word(i), word(i + 1), word(i + 2)))
+    grams = F.when(F.size("words") > 0, F.transform(places, lambda i: F.struct(i.alias("place"), gram(i).alias("gram"))))
+    return stored(words.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.size("words").cast("long").alias("n_words"), grams.alias("grams")), "places")
+
+
+def votes(rows: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+    """uid, template, label, base, size, diagonal, mask (of the template's grams), low and high (places) of each diagonal of placed() rows."""
+    spark: SparkSession = rows.sparkSession
     grams = spark.createDataFrame(template_grams(phrases, notices), "template int, label string, base boolean, size int, at int, theirs string").withColumn("h", F.xxhash64("theirs"))
-    words = documents.select(row_uid("doc_id", "text").alias("uid"), words_of(F.col("text")).alias("words"))
-    rolled = F.transform("words", lambda w, i: F.when(w.isin(*TWO), F.concat_ws(" ", w, F.get("words", i + 1))).otherwise(F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2))))
-    rows = words.select("uid", F.posexplode(rolled).alias("place", "gram")).withColumn("h", F.xxhash64("gram"))
-    met = rows.join(F.broadcast(grams), "h").where(F.col("gram") == F.col("theirs"))
+    own = rows.select("uid", F.inline("grams")).withColumn("h", F.xxhash64("gram"))
+    met = own.join(F.broadcast(grams), "h").where(F.col("gram") == F.col("theirs"))
     met = met.withColumn("diagonal", F.col("place") - F.col("at"))
-    return met.groupBy("uid", "template", "label", "base", "size", "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("place").alias("low"), F.max("place").alias("high"))
+    voted = met.groupBy("uid", "template", "label", "base", "size", "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("place").alias("low"), F.max("place").alias("high"))
+    return stored(voted, "votes")
 
 
 def spans(voted: DataFrame, coverage: float = 0.7, slack: int = 4) -> DataFrame:
@@ -101,15 +116,15 @@ def spans(voted: DataFrame, coverage: float = 0.7, slack: int = 4) -> DataFrame:
 
 def scan(documents: DataFrame, coverage: float = 0.7, slack: int = 4) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row (see the module)."""
-    voted = votes(documents)
+    rows = placed(documents)
+    voted = votes(rows)
     base = voted.where("base").select("uid", "label", F.lit(True).alias("base"), F.col("diagonal").alias("first"), F.lit(1.0).alias("coverage"))
     method = spans(voted, coverage, slack).select("uid", "label", F.lit(False).alias("base"), F.lit(None).cast("int").alias("first"), "coverage")
     found = base.unionByName(method).groupBy("uid").agg(
         F.count("first").alias("n_base"), F.min("first").alias("first_word"), F.max("first").alias("last_word"),
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"), F.collect_set("label").alias("labels"), F.max("coverage").alias("score"),
     )
-    rows = documents.select(F.col("doc_id"), row_uid("doc_id", "text").alias("uid"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = rows.join(found, "uid", "left")
+    joined = rows.select("uid", "doc_id", "n_words").join(found, "uid", "left")
     text = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
