@@ -34,6 +34,27 @@ def test_given_margin_is_met(spark):
     assert abs(counts["a"] - 80) < 30 and abs(counts["b"] - 80) < 30
 
 
+def test_the_budget_is_spent_and_margins_hold_where_tokens_suffice(spark):
+    # the small sources cannot give a third of half the tokens each; what they lack goes to the others
+    rows = [(i, "a b c d", "en", "hot" if i % 10 else f"s{i % 20}", 0) for i in range(800)]
+    targets = {"source": spark.createDataFrame([("hot", 0.2), ("s0", 0.4), ("s10", 0.4)], "value string, share double")}
+    fitted = {r["source"]: r for r in mixing.probabilities(mixing.rake(mixing.cells(mixing.featured(documents(spark, rows))), targets, keep=0.5), 0.5).collect()}
+    assert fitted["s0"]["probability"] == fitted["s10"]["probability"] == pytest.approx(1)
+    assert sum(r["probability"] * r["tokens"] for r in fitted.values()) == pytest.approx(0.5 * 3200)
+    # nothing is clipped in this one, so that every margin is met
+    mild = {"source": spark.createDataFrame([("hot", 0.8), ("s0", 0.1), ("s10", 0.1)], "value string, share double")}
+    fitted = {r["source"]: r for r in mixing.probabilities(mixing.rake(mixing.cells(mixing.featured(documents(spark, rows))), mild, keep=0.4), 0.4).collect()}
+    assert [fitted[s]["probability"] * fitted[s]["tokens"] / (0.4 * 3200) for s in ("hot", "s0", "s10")] == pytest.approx([0.8, 0.1, 0.1])
+
+
+@pytest.mark.parametrize("keep", [0.1, 0.5, 0.9, 1])
+def test_expected_tokens_are_the_budget(spark, keep):
+    got = mixing.report(documents(spark, some()), keep=keep).collect()
+    total = sum(r["n_tokens"] for r in got)
+    assert sum(r["n_tokens"] * r["probability"] for r in got) == pytest.approx(keep * total, rel=1e-6)
+    assert all(0 <= r["probability"] <= 1 for r in got)
+
+
 def test_report_equals_its_sql(spark):
     docs = documents(spark, some())
     frame = docs.toPandas()
