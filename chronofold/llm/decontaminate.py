@@ -5,24 +5,29 @@ words are lower-cased and lose outer punctuation. Windows of ``WINDOW`` template
 that are one window) are hashed and joined: a document window meets an item's window if their templates
 are equal, whatever stands in the slots. So a question with other numbers or names still meets.
 
-A document and an item are a leak if the windows found cover at least ``coverage`` of the item's and the
-slots agree: along one alignment a value of the item always stands for the same value of the document
-(7 -> 9 everywhere), in at least ``consistency`` of its values. Different values mean a re-parameterised
-copy, equal ones a verbatim copy.
+A document and an item are a leak if one alignment of the two shows it. An alignment is a place of the item in
+the document, give or take ``SLACK`` words that were left out or put in. Its windows cover at least ``coverage``
+of the item's, and its slots agree: a value of the item always stands for the same value of the document, and no
+other value of the item does (7 -> 9 everywhere, and only 7), in at least ``consistency`` of its values. Different
+values mean a re-parameterised copy, equal ones a verbatim copy.
 
 Only windows that can meet leave a task: a bitmap of 2^``BITMAP`` bits, of fixed size whatever the
 benchmark, holds the hashes of the items' windows. It lets a few strangers through, which the join drops,
-and loses nothing. Items and documents then meet in an ordinary join.
+and loses nothing. Windows that many items share (the same opening of a question) would bring each of their
+documents to each of the items. But who has c of an item's n windows has one of any n - c + 1 of them, so that only
+so many of each item, the ones that the fewest items have, propose pairs; pairs then take their windows by key.
 
 A capital says little about a word that may begin a sentence, and nothing in a text in lower case. So a text has
 four readings: names are capitalised words inside sentences, or all capitalised words, or none, and the last one
 has no slots at all. Windows meet in the readings that both sides have in common, and a leak is one in any of them;
 the figures are of the first one. Windows with more slots than words say nothing about a text and are left out
 on the items' side; the last reading has none, so that verbatim copies are found whatever they consist of.
+Items of fewer than ``SHORT`` words ("yes") are found only where they are a whole line or sentence.
 
 Defined results: null or empty texts have no windows. A null item_id is reported as null. Rows that repeat
-a doc_id are judged one by one and reported once for each item. Repeated items are one item per item_id.
-Empty tables give no rows. Extra columns are ignored.
+a doc_id are judged one by one and reported once for each item. Texts that repeat an item_id are looked for one by
+one and reported as one item. Of equal alignments the first in the text is reported. Empty tables give no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import row_uid, stored, worker_cache, working_for
 from chronofold.llm.substring_dedup import rolling
 
 WINDOW = 8
+#: Items of fewer words must be a line or a sentence.
+SHORT = 4
+#: Words by which the places of an alignment's windows may shift.
+SLACK = 3
 #: Power of two of the bits that say which hashes occur in the benchmark.
 BITMAP = 22
 CACHED_WORDS = 300_000
@@ -127,6 +136,21 @@ def readings(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return hashes, kinds, words
 
 
+def whole(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each template word, whether a line or sentence begins with it, and ends with it."""
+    words = (text or "").split()
+    index = _table.index(words)
+    ends, real = _table.columns[3][index].copy(), _table.columns[4][index]
+    lines = np.cumsum([len(line.split()) for line in (text or "").splitlines()])
+    ends[lines[lines > 0] - 1] = True
+    # a boundary anywhere between two template words counts
+    stays = np.flatnonzero(real)
+    passed = np.append(np.cumsum(ends), 0)
+    after = np.append(stays[1:], len(words)) - 1
+    last = passed[after] > passed[stays - 1]
+    return np.append(True, last[:-1])[: len(stays)], last
+
+
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(hash, kind) of each template word in the first reading and the words themselves."""
     hashes, kinds, words = readings(text)
@@ -154,7 +178,10 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None):
                     h = np.append(h, np.zeros(size - 1, np.uint64)).reshape(READINGS, -1)[:, : len(words) - size + 1]
                     if bitmap is not None:
                         low = (h & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
-                        taken = (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+                        taken = (bitmap[low >> 6] >> (low & 63) & 1).astype(bool)
+                        if size < SHORT and taken.any():
+                            begins, ends = whole(text.as_py())
+                            taken &= begins[: len(words) - size + 1] & ends[size - 1 :]
                     else:
                         slots = np.cumsum(np.pad(kinds != LITERAL, ((0, 0), (1, 0))), axis=1)
                         taken = 2 * (slots[:, size:] - slots[:, :-size]) <= size
@@ -165,7 +192,7 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None):
                             same[int(h[r, p])] = same.get(int(h[r, p]), 0) | 1 << r
                         for mask in same.values():
                             r = (mask & -mask).bit_length() - 1
-                            row = (h[r, p].astype(np.int64), owner.as_py(), uid.as_py(), p, size, mask, windows, [words[p + i] for i in np.flatnonzero(kinds[r, p : p + size])])
+                            row = (h[r, p].astype(np.int64), owner.as_py(), uid.as_py(), p, size, mask, windows, [words[p + i].strip(OUTER) or words[p + i] for i in np.flatnonzero(kinds[r, p : p + size])])
                             for to, value in zip(held, row):
                                 to.append(value)
                 if len(held[0]) > 50_000:
@@ -178,41 +205,75 @@ def _windows(sizes: list[int], bitmap: np.ndarray | None):
 
 
 def bitmap_of(items: DataFrame) -> np.ndarray:
-    """Bits of the items' window hashes: 2^BITMAP of them, however many items."""
-    bits = np.zeros(1 << BITMAP, bool)
-    low = items.select(F.col("h").bitwiseAND((1 << BITMAP) - 1).alias("low")).distinct()
-    for r in low.toLocalIterator():
-        bits[r["low"]] = True
-    return np.packbits(bits, bitorder="little")
+    """Bits of the items' window hashes: 2^BITMAP of them, in 64s, however many items."""
+    bits = np.zeros((1 << BITMAP) // 64, np.int64)
+    low = items.select(F.col("h").bitwiseAND((1 << BITMAP) - 1).alias("low"))
+    for r in low.groupBy((F.col("low") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 AS int))")).alias("bits")).collect():
+        bits[r["at"]] = r["bits"]
+    return bits
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, consistency: float = 0.8) -> DataFrame:
-    """doc_id, item_id, matched and all windows, coverage, slot_consistency, reparameterised, first_word of each leak."""
+def _each_reading(rows: DataFrame) -> DataFrame:
+    """A row for each reading of a row's set of them."""
+    each = F.filter(F.sequence(F.lit(0), F.lit(READINGS - 1)), lambda r: F.expr("readings").bitwiseAND(F.pow(F.lit(2), r).cast("int")) != 0)
+    return rows.withColumn("reading", F.explode(each)).drop("readings")
+
+
+def proposing(items: DataFrame, coverage: float) -> DataFrame:
+    """Of each item's windows in each reading the n - c + 1 that the fewest items have (see the module)."""
+    rows = _each_reading(items.select("h", "size", "item", "item_place", "readings", "windows"))
+    shared = items.groupBy("h", "size").agg(F.count_distinct("item").alias("items"))
+    order = Window.partitionBy("item", "reading").orderBy("items", "item_place")
+    rows = rows.join(shared, ["h", "size"]).withColumn("rank", F.row_number().over(order)).withColumn("n", F.get("windows", F.col("reading")))
+    return rows.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(coverage) * F.col("n") - 1e-9) + 1).select("h", "size", "item", "reading")
+
+
+def consistency_of(pairs: Column) -> Column:
+    """Of a set of (theirs, ours), the share of their values that stand for one value of ours that no other stands for."""
+    theirs = F.array_distinct(F.transform(pairs, lambda p: p["theirs"]))
+    alone = lambda p, of: F.size(F.filter(pairs, lambda q: q[of] == p[of])) == 1
+    good = F.filter(pairs, lambda p: alone(p, "theirs") & alone(p, "ours"))
+    return F.when(F.size(theirs) > 0, F.size(good) / F.size(theirs)).otherwise(1.0)
+
+
+def leaking_rows(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, consistency: float = 0.8) -> DataFrame:
+    """doc_id, uid (of the row, by doc_id and text), item_id and the figures of the best alignment of each leak."""
     if not 0 < coverage <= 1 or not 0 <= consistency <= 1:
         raise ValueError("coverage must be in (0, 1] and consistency in [0, 1]")
-    items = benchmark.select(F.col("item_id").cast("long").alias("owner"), F.lit(0).cast("long").alias("uid"), "text").distinct()
-    items = stored(items.mapInArrow(_windows([], None), SCHEMA), "items")
+    own = benchmark.select(F.col("item_id").cast("long").alias("owner"), row_uid("item_id", "text").alias("uid"), "text").distinct()
+    items = stored(own.mapInArrow(_windows([], None), SCHEMA), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     docs = documents.select(F.col("doc_id").cast("long").alias("owner"), row_uid("doc_id", "text").alias("uid"), "text")
-    found = docs.mapInArrow(_windows(sizes, bitmap_of(items)), SCHEMA).select("h", "size", F.col("owner").alias("doc_id"), "uid", "place", F.col("readings").alias("ours"), "slots")
-    theirs = items.select("h", "size", F.col("owner").alias("item_id"), F.col("place").alias("item_place"), "readings", "windows", F.col("slots").alias("item_slots"))
-    met = found.join(theirs, ["h", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
+    found = docs.mapInArrow(_windows(sizes, bitmap_of(items)), SCHEMA)
+    found = stored(found.select("h", "size", F.col("owner").alias("doc_id"), "uid", "place", F.col("readings").alias("ours"), "slots"), "found")
+    theirs = items.select("h", "size", F.col("owner").alias("item_id"), F.col("uid").alias("item"), F.col("place").alias("item_place"), "readings", "windows", F.col("slots").alias("item_slots"))
+    in_reading = F.col("ours").bitwiseAND(F.pow(F.lit(2), F.col("reading")).cast("int")) != 0
+    proposed = found.select("h", "size", "uid", "ours").join(proposing(theirs, coverage), ["h", "size"]).where(in_reading).select("uid", "item").distinct()
+    # the windows of proposed pairs, by the item and then by the document and the window
+    met = proposed.join(theirs, "item").join(found, ["uid", "h", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
     met = met.withColumn("readings", F.col("readings").bitwiseAND(F.col("ours"))).where("readings <> 0")
-    met = stored(met.drop("h", "size", "ours"), "met")
-    each = F.filter(F.sequence(F.lit(0), F.lit(READINGS - 1)), lambda r: F.expr("readings").bitwiseAND(F.pow(F.lit(2), r).cast("int")) != 0)
-    met = met.withColumn("reading", F.explode(each)).withColumn("windows", F.get("windows", F.col("reading")))
-    # windows of an item found anywhere in the document
-    pair = ["doc_id", "uid", "item_id", "reading"]
-    cover = met.groupBy(*pair).agg(F.count_distinct("item_place").cast("long").alias("matched"), F.max("windows").cast("long").alias("windows"), F.min("place").cast("long").alias("first_word"))
-    cover = cover.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
-    # along an alignment each value of the item stands for one value of the document
-    slots = met.where(F.size("slots") > 0).select(*pair, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-    slots = slots.select(*pair, "shift", F.col("z.item_slots").alias("theirs"), F.col("z.slots").alias("ours"))
-    values = slots.groupBy(*pair, "shift", "theirs").agg(F.min("ours").alias("least"), F.max("ours").alias("most"))
-    agree = values.groupBy(*pair).agg(F.avg((F.col("least") == F.col("most")).cast("double")).alias("agree"), F.max((F.col("theirs") != F.col("least")) | (F.col("least") != F.col("most"))).alias("changed"))
-    key = [cover[c].eqNullSafe(agree[c]) for c in pair]
-    joined = cover.join(agree, key[0] & key[1] & key[2] & key[3], "left").select(*(cover[c] for c in pair), "matched", "windows", "coverage", "first_word", F.coalesce("agree", F.lit(1.0)).alias("slot_consistency"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
-    kept = joined.where(F.col("slot_consistency") >= consistency)
-    # of each leak the first reading that shows it
-    first = lambda of, c: F.coalesce(*(of(F.when(F.col("reading") == r, F.col(c))) for r in range(READINGS))).alias(c)
-    return kept.groupBy("doc_id", "item_id").agg(*(first(F.max, c) for c in ("matched", "windows", "coverage", "slot_consistency")), first(F.min, "reparameterised"), first(F.min, "first_word"))
+    met = _each_reading(met.drop("h", "size", "ours"))
+    # an alignment begins at any shift and takes in what lies up to SLACK beyond
+    met = met.withColumn("anchor", F.explode(F.sequence(F.col("shift") - SLACK, F.col("shift"))))
+    slots = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("theirs"), z["slots"].alias("ours")))
+    aligned = met.groupBy("uid", "item", "reading", "anchor").agg(
+        F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.count_distinct("item_place").cast("long").alias("matched"), F.max(F.get("windows", F.col("reading"))).cast("long").alias("windows"),
+        F.min("place").cast("long").alias("first_word"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"),
+    )
+    aligned = aligned.withColumns({"coverage": F.col("matched") / F.col("windows"), "slot_consistency": consistency_of(F.col("pairs")), "reparameterised": F.exists("pairs", lambda p: p["theirs"] != p["ours"])})
+    kept = aligned.where((F.col("coverage") >= coverage) & (F.col("slot_consistency") >= consistency))
+    return kept.groupBy("doc_id", "uid", "item_id", "item").agg(_first().alias("best")).select("doc_id", "uid", "item_id", "best.reading", *(F.col(f"best.{c}_").alias(c) for c in FIGURES))
+
+
+def _first() -> Column:
+    """The figures of the first reading, of the best alignment in it, of the first of equal ones."""
+    return F.min(F.struct("reading", -F.col("coverage"), -F.col("slot_consistency"), F.col("first_word").alias("at"), *(F.col(c).alias(f"{c}_") for c in FIGURES)))
+
+
+FIGURES = ("matched", "windows", "coverage", "slot_consistency", "reparameterised", "first_word")
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = 0.5, consistency: float = 0.8) -> DataFrame:
+    """doc_id, item_id, matched and all windows, coverage, slot_consistency, reparameterised, first_word of each leak."""
+    rows = leaking_rows(documents, benchmark, coverage, consistency)
+    return rows.groupBy("doc_id", "item_id").agg(_first().alias("best")).select("doc_id", "item_id", *(F.col(f"best.{c}_").alias(c) for c in FIGURES))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -32,7 +34,7 @@ def test_verbatim_and_reparameterised_and_clean(spark):
         (11, f"{filler(30, 3)}.\n{other}\n{filler(900, 4)}"),
         (12, filler(2000, 5)),
         (13, ITEMS[1][1].upper()),
-        (14, f"{filler(5, 6)} short one here {filler(5, 7)}"),
+        (14, f"{filler(5, 6)}. Short one here. {filler(5, 7)}"),
         (15, "The quick train left the old station at noon and nothing else"),
         (16, None),
         (17, ""),
@@ -53,29 +55,91 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert set(got) == {(1, 1)}
 
 
-def test_matches_brute_force_windows(spark):
-    rng = np.random.default_rng(7)
-    vocabulary = [f"v{i}" for i in range(30)] + ["5", "kg", "Paris", "end.", "--"]
+OUTER = set("!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~%$«»“”‘’…¿¡")
+
+
+def plain_reading(text, reading):
+    """The definition of a template: [(key, slot value or None)] of each word, and sentence ends."""
+    words, out = [w for line in (text or "").splitlines() for w in [*line.split(), "\n"]], []
+    number, ended = False, True
+    for w in words:
+        if w == "\n":
+            if out:
+                out[-1][2] = True
+            continue
+        core = w.strip("".join(OUTER))
+        is_number = bool(re.fullmatch(r"[+-]?[$€£]?[0-9][0-9.,:/]*[%°a-zA-Z$€£]*", w.strip("()[],;!?\"'").rstrip(".:"))) and w[0] in "0123456789+-$€£("
+        is_unit = not is_number and number and (core.lower() in dc.UNITS or w in ("%", "$", "€", "£"))
+        is_name = not is_number and not is_unit and len(core) > 1 and core[0].isupper() and core[1:].islower()
+        kind = "<number>" if is_number else "<unit>" if is_unit else "<name>" if is_name and (reading == 1 or reading == 0 and not ended) else None
+        ends = w.rstrip("\"')”’»")[-1:] in ("", ".", "!", "?", ":")
+        number, ended = is_number, ends
+        if core or w in ("%", "$", "€", "£"):
+            slot = kind if reading < 3 else None
+            out.append([slot or core.lower(), (core or w) if slot else None, ends])
+        elif out:
+            out[-1][2] |= ends
+    return out
+
+
+def plain_leaks(docs, items, coverage=0.5, consistency=0.8):
+    found = {}
+    for i, item in items:
+        for d, doc in docs:
+            for reading in range(4):
+                a, b = plain_reading(item, reading), plain_reading(doc, reading)
+                size = min(8, len(a))
+                places = [p for p in range(len(a) - size + 1) if size and 2 * sum(x[1] is not None for x in a[p : p + size]) <= size]
+                met = [(q - p, p, q) for p in places for q in range(len(b) - size + 1) if [x[0] for x in a[p : p + size]] == [x[0] for x in b[q : q + size]]]
+                if size < 4:
+                    met = [m for m in met if (m[2] == 0 or b[m[2] - 1][2]) and (b[m[2] + size - 1][2] or m[2] + size == len(b))]
+                for anchor in sorted({m[0] - k for m in met for k in range(4)}):
+                    own = [m for m in met if anchor <= m[0] <= anchor + 3]
+                    share = len({p for _, p, _ in own}) / len(places)
+                    pairs = {(a[p + k][1], b[q + k][1]) for _, p, q in own for k in range(size) if a[p + k][1] is not None}
+                    one = [x for x in pairs if sum(x[0] == y[0] for y in pairs) == 1 and sum(x[1] == y[1] for y in pairs) == 1]
+                    agree = len(one) / len({x[0] for x in pairs}) if pairs else 1
+                    if share >= coverage and agree >= consistency:
+                        new = (reading, -share, -agree, min(q for _, _, q in own))
+                        found[d, i] = min(found.get((d, i), new), new)
+    return found
+
+
+@pytest.mark.parametrize("seed,coverage,consistency", [(7, 0.5, 0.8), (8, 0.5, 0), (9, 0.3, 1), (10, 1, 0.5)])
+def test_equals_the_definition(spark, seed, coverage, consistency):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"v{i}" for i in range(20)] + ["5", "12,", "kg", "Paris", "Anna", "Rome.", "end.", "--", "(7)", "%", "yes"]
     text = lambda n: " ".join(rng.choice(vocabulary, n))
-    items = [(i, text(int(rng.integers(1, 30)))) for i in range(25)]
+    opening = text(9)  # shared by many items
+    items = [(i, f"{opening if i % 3 == 0 else ''} {text(int(rng.integers(1, 25)))}") for i in range(20)]
     docs = []
-    for i in range(40):
-        item = items[int(rng.integers(25))][1]
-        docs.append((i, f"{text(20)} end. {item} {text(10)}"))
-    got = run(spark, docs, items)
-    want = {}
-    for b, t in items:
-        h, kind, _ = dc.template(t)
-        size = min(dc.WINDOW, len(h))
-        theirs = {p: tuple(h[p : p + size].tolist()) for p in range(len(h) - size + 1) if size and 2 * sum(kind[p : p + size] != 0) <= size}
-        for d, s in docs:
-            g, _, _ = dc.template(s)
-            ours = {tuple(g[p : p + size].tolist()) for p in range(len(g) - size + 1)}
-            hit = sum(x in ours for x in theirs.values())
-            if theirs and hit / len(theirs) >= 0.5:
-                want[d, b] = hit
-    assert {k: v["matched"] for k, v in run(spark, docs, items, consistency=0).items()} == want
-    assert set(got) <= set(want) and got
+    for i in range(36):
+        words = items[int(rng.integers(20))][1].split()
+        words = [str(int(rng.integers(90))) if w[:1].isdigit() and rng.random() < 0.5 else w for w in words]
+        at = int(rng.integers(len(words) + 1))
+        words = [words, words[:at] + ["put", "in"] + words[at:], words[: len(words) * 2 // 3]][i % 3]
+        docs.append((i, f"{text(15)}{rng.choice([' ', chr(10), '. '])}{' '.join(words)}{rng.choice([' ', chr(10), '. '])}{text(8)} {opening}"))
+    got = run(spark, docs, items, coverage=coverage, consistency=consistency)
+    want = plain_leaks(docs, items, coverage, consistency)
+    assert set(got) == set(want) and len(got) >= 5
+    for k, r in got.items():
+        assert (-r["coverage"], -r["slot_consistency"], r["first_word"]) == pytest.approx(want[k][1:])
+
+
+def test_one_word_items_need_a_line_or_sentence(spark):
+    items = [(1, "yes"), (2, "New York")]
+    docs = [(10, "I said yes to that"), (11, "Well. Yes. Then"), (12, "a question\nyes\nand more"), (13, "in New York there"), (14, "Where?\n- New York\n"), (15, "yes"), (16, "yes and new york")]
+    assert set(run(spark, docs, items)) == {(11, 1), (12, 1), (14, 2), (15, 1)}
+
+
+def test_values_must_map_one_to_one_in_one_place(spark):
+    item = [(1, "first add 3 cups of flour then add 4 cups of milk and at last stir in 5 cups of sugar with care")]
+    merged = item[0][1].replace("4", "9").replace("3", "9").replace("5", "9")
+    assert run(spark, [(1, merged)], item) == {}
+    halves = item[0][1].split()
+    apart = " ".join(halves[:11]) + f" {filler(60, 1)} " + " ".join(halves[9:])
+    assert run(spark, [(1, apart)], item, coverage=0.7) == {}
+    assert set(run(spark, [(1, item[0][1].replace("4", "6"))], item, coverage=0.9)) == {(1, 1)}
 
 
 def test_empty_null_and_repeated(spark):
