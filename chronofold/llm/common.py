@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,18 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where all run in one JVM, one of our own will do."""
     set_in_session = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_in_session:
         return set_in_session.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="chronofold-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/chronofold/{uuid.uuid4().hex}/{name}"
+    """A path of its own below the shared folder, in a folder of the application that clear_scratch() removes."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    folder = f"{shared_dir(spark)}/chronofold/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders[folder] = spark
+        atexit.register(clear_scratch, spark)
+    return folder
+
+
+_folders: dict[str, SparkSession] = {}
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what the application's operators have written below the shared folder; results not yet read are lost.
+
+    Called as the driver's process ends; a driver that goes on after its results are written calls it itself.
+    """
+    for folder in [f for f, s in _folders.items() if s is spark]:
+        del _folders[folder]
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -598,9 +598,8 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
     Null texts count as empty; texts without words are copies of each other. Null doc_ids come last; of rows that
     are equal in doc_id and text one stays. An empty table gives no rows. All columns are kept, whatever their names.
     """
-    own = {c: f"{c}_{k}" for k, c in enumerate(documents.columns)}  # no name of the caller's meets one of ours
-    rows = documents.withColumnsRenamed(own)
-    doc_id, text = F.col(own["doc_id"]), F.col(own["text"])
+    rows = documents.toDF(*(f"doc_column_{k}" for k in range(len(documents.columns))))  # no name of the caller's meets one of ours
+    doc_id, text = (F.col(f"doc_column_{documents.columns.index(c)}") for c in ("doc_id", "text"))
     uid = F.xxhash64(doc_id, text)
     signed = stored(rows.select(uid.alias("uid"), doc_id.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_wholes, "uid long, doc_id long, high long, low long"), "signatures")
     sets = rows.select(text.alias("text")).mapInArrow(_sets(words), "high long, low long, shingles binary")
@@ -614,4 +613,4 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
     copies = F.row_number().over(Window.partitionBy(doc_id, "row_uid").orderBy(F.lit(1)))
     rows = rows.withColumn("row_uid", uid)
     kept = rows.join(stays, (F.col("row_uid") == F.col("kept_uid")) & doc_id.cast("long").eqNullSafe(F.col("kept_doc_id")), "left_semi")
-    return kept.withColumn("copy", copies).where("copy = 1").drop("row_uid", "copy").withColumnsRenamed({v: k for k, v in own.items()})
+    return kept.withColumn("copy", copies).where("copy = 1").drop("row_uid", "copy").toDF(*documents.columns)

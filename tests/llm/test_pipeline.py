@@ -73,3 +73,24 @@ def test_empty_tables(spark, tmp_path):
 
 def test_language_split_is_the_operators(spark):
     assert [language_id.crc_of(i) == 2 for i in range(9)] == [r[0] for r in spark.range(9).select(language_id.held_out(__import__("pyspark").sql.functions.col("id"))).collect()]
+
+
+def test_stages_take_nulls_repeats_and_any_extra_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("n_chars")
+    clashing = ["score", "lang_pred", "mix_tokens", "uid", "h", "row_uid", "leaked_uid", "item_id", "whole", "doc_column_1"]
+    odd = spark.createDataFrame([(None, None, None, None), (None, ITEM, "en", "s0"), (None, ITEM.replace("12", "13"), "en", "s0"), (300, ITEM, "en", "s0"), (300, "thing would other " * 20, "en", "s0")], docs.schema)
+    rows = docs.unionByName(odd).unionByName(odd)
+    plain = {name: stage(spark, rows, sf_dir) for name, stage in cp.STAGES}
+    for name, stage in cp.STAGES:
+        more = rows
+        for k, c in enumerate(clashing):
+            more = more.withColumn(c, cp.F.lit(k))
+        got = stage(spark, more, sf_dir)
+        want = plain[name]
+        assert got.columns == (want.columns if name == "token_output" else more.columns), name
+        ids = ["doc_id", "start"] if name == "token_output" else ["doc_id", "text"]
+        key = lambda r: str([r[c] for c in ids])
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())), name
+    left = [(r["doc_id"], r["text"]) for r in plain["decontamination"].collect()]
+    # of rows that share an id only those go that leak
+    assert sum(d == 300 for d, _ in left) == 2 and sum(d is None for d, _ in left) == 2 and all(t != ITEM for _, t in left)
