@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,11 @@ def working_for(name: str = "") -> None:
             if other != name:
                 clear()
         _working_for = name
+        # what allocators keep of it goes back too, as the next operator's share of the executor's memory
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def row_uid(*columns: str) -> Column:

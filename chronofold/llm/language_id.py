@@ -21,11 +21,11 @@ rows get equal answers. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +33,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import stored, working_for
+from chronofold.llm.substring_dedup import powers
 
 UNDETERMINED = "und"
 ORDER = 5
-#: What counts as a word's character for the expression below and is no letter: fractions, Roman and circled numbers.
-_NUMERALS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()))
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 200_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """Maximal runs of letters, lower-cased."""
+    found = _WORD.findall((text or "").lower())
+    if text is None or text.isascii():
+        return found
+    # the expression takes fractions, Roman and circled numbers for letters too
+    return [part for w in found for part in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word with marked edges; single letters have no edges."""
     marked = f"^{word}$" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of code points, the same wherever it stands."""
+    up, down = powers(len(codes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[:-1], dtype=np.uint64)])
+    value = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    return value ^ (value >> np.uint64(29))
+
+
 @dataclass
 class Table:
-    """Keys with a row of a matrix each: centred log frequency by language."""
+    """Hashes of keys, in order, with a row of a matrix each: centred log frequency by language."""
 
-    rows: dict[str, int] = field(default_factory=dict)
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     matrix: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
 
 @dataclass
 class Model:
@@ -65,17 +94,39 @@ class Model:
     grams: dict[int, Table] = field(default_factory=dict)
     penalty: float = 0.5
 
-    def score(self, word: str) -> np.ndarray:
-        row = self.words.rows.get(word)
-        return self.back_off(word) if row is None else self.words.matrix[row]
-
-    def back_off(self, word: str) -> np.ndarray:
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row by language for each word: its own if it is known, else that of the longest n-grams known."""
+        out = np.zeros((len(words), len(self.languages)))
+        if not words or not self.languages:
+            return out
+        # ^word$^word$...: the spans of words and n-grams are places in one array
+        codes, sizes = _codes(f"^{'$^'.join(words)}$"), np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes + 2) - sizes - 1
+        rows = self.words.rows(span_hashes(codes, first, first + sizes))
+        known = rows >= 0
+        out[known] = self.words.matrix[rows[known]]
+        left = np.flatnonzero(~known)
         for n in range(ORDER, 0, -1):
-            table = self.grams[n]
-            known = [r for g in grams(word, n) if (r := table.rows.get(g)) is not None]
-            if known:
-                return table.matrix[known].mean(axis=0) * self.penalty ** ((ORDER - n) / ORDER)
-        return np.zeros(len(self.languages))
+            edge = 1 if n > 1 else 0
+            counts = sizes[left] + 2 * edge - n + 1
+            long = left[counts > 0]
+            counts = counts[counts > 0]
+            if not len(long):
+                continue
+            ends = np.cumsum(counts)
+            begin = np.repeat(first[long] - edge - ends + counts, counts) + np.arange(ends[-1])
+            rows = self.grams[n].rows(span_hashes(codes, begin, begin + n))
+            there = rows >= 0
+            found = np.zeros((len(rows), len(self.languages)))
+            found[there] = self.grams[n].matrix[rows[there]]
+            hits = np.add.reduceat(there.astype(np.int64), ends - counts)
+            sums, some = np.add.reduceat(found, ends - counts, axis=0), hits > 0
+            out[long[some]] = sums[some] / hits[some, None] * self.penalty ** ((ORDER - n) / ORDER)
+            left = np.setdiff1d(left, long[some], assume_unique=True)
+        return out
+
+    def score(self, word: str) -> np.ndarray:
+        return self.scores([word])[0]
 
 
 def fit(words: dict[str, dict[str, int]], by_n: dict[int, dict[str, dict[str, int]]] | None = None) -> Model:
@@ -92,7 +143,11 @@ def fit(words: dict[str, dict[str, int]], by_n: dict[int, dict[str, dict[str, in
             for lang, n in by.items():
                 counted[i, place[lang]] += n
         logs = np.log(counted / counted.sum(axis=0))
-        return Table({k: i for i, k in enumerate(counts)}, logs - logs.mean(axis=1, keepdims=True))
+        sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+        ends = np.cumsum(sizes)
+        hashes = span_hashes(_codes("".join(counts)), ends - sizes, ends)
+        order = np.argsort(hashes)
+        return Table(hashes[order], (logs - logs.mean(axis=1, keepdims=True))[order])
 
     return Model(languages, table(words), {n: table(t) for n, t in (by_n or gram_counts(words)).items()})
 
@@ -109,31 +164,39 @@ def gram_counts(words: dict[str, dict[str, int]]) -> dict[int, dict[str, dict[st
 
 
 class Scorer(dict):
-    """word -> row of the score table, filled as words are met."""
+    """word -> row of the score table; words that are new are scored together before their texts."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model, self.table = model, np.zeros((1 << 14, len(model.languages)))
+        self.model, self.table, self.new = model, np.zeros((1 << 14, len(model.languages))), []
 
     def __missing__(self, word: str) -> int:
-        row = self.model.score(word)
         self[word] = n = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = row
+        self.new.append(word)
         return n
 
-    def predict(self, text: str | None, evidence: int = 20) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
+    def predict(self, texts: list[str | None], evidence: int = 20) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
         if len(self) > CACHED_WORDS:
             self.clear()
-        index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        mean = self.table[index].mean(axis=0)
-        best = int(np.argmax(mean))
-        odds = np.exp(np.minimum(0, (mean - mean[best]) * min(len(words), evidence)))
-        return self.model.languages[best], float(1 / odds.sum())
+        split = [words_of(t) for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        index = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        first, new, self.new = len(self) - len(self.new), self.new, []
+        while len(self.table) < len(self):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[first : len(self)] = self.model.scores(new)
+        names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        some = np.flatnonzero(counts)
+        if not len(some) or not self.model.languages:
+            return names.tolist(), scores
+        starts = (np.cumsum(counts) - counts)[some]
+        mean = np.add.reduceat(self.table[index], starts, axis=0) / counts[some, None]
+        best = mean.argmax(axis=1)
+        odds = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(counts[some], evidence)[:, None])
+        names[some] = np.array(self.model.languages, object)[best]
+        scores[some] = 1 / odds.sum(axis=1)
+        return names.tolist(), scores
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,7 +217,7 @@ def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         found: dict[tuple[str, int, str], int] = defaultdict(int)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for word in WORD.findall(text.as_py().lower()):
+            for word in words_of(text.as_py()):
                 found[lang, 0, word] += 1
         yield _counted(found)
 
@@ -195,10 +258,10 @@ def _predicted(shared, evidence: int, names: list[str]):
         working_for()
         scorer = Scorer(shared.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                found = [scorer.predict(t.as_py(), evidence) for t in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                found, scores = scorer.predict(batch.column(0).to_pylist(), evidence)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(found, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     return run
 

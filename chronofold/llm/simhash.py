@@ -563,22 +563,26 @@ def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
     first = stored(rows.mapInArrow(_met(similarity), "a long, b long, h long, n int, place int"), "first")
     pairs, large = first.where("b IS NOT NULL").select("a", "b"), first.where("b IS NULL").select("h", "n", "place", F.col("a").alias("rep"))
     sizes = large.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    parity = texts.select("whole", "shingles").mapInArrow(_parity_rows, "whole long, parity binary")
-    large = stored(large.join(sizes, "h").join(parity, F.col("rep") == F.col("whole")).drop("whole"), "large")
+    large = stored(large.join(sizes, "h"), "large")
+    # parities are joined last, so that they move as seldom as can be
+    parity = stored(texts.select("whole", "shingles").mapInArrow(_parity_rows, "whole long, parity binary"), "parities")
+    with_parity = lambda df: df.join(parity, F.col("rep") == F.col("whole")).drop("whole")
     # links that are likely, grown in parts of the buckets; other shingles cut the same texts into other parts
     part = F.xxhash64("h", F.pmod(F.xxhash64("h", "rep"), F.ceil(F.col("size") / GROWN))).alias("bucket")
-    rows = large.select(part, "n", "rep", "parity").repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
-    pairs = pairs.unionByName(rows.mapInArrow(_grown(similarity), "a long, b long")).distinct()
+    rows = with_parity(large.select(part, "n", "rep")).repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
+    pairs = pairs.unionByName(rows.select("bucket", "n", "rep", "parity").mapInArrow(_grown(similarity), "a long, b long")).distinct()
     links = similar(stored(pairs, "pairs"), texts, similarity)
     found = stored(components(links), "classes")
     # then all pairs of a bucket that the links have not put into one class, tile by tile
     known = large.join(found, large["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    known = stored(known, "known")
     several = known.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("h")
     rows = known.join(several, "h").withColumn("tiles", F.ceil(F.col("size") / PIECE).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     bucket = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")
-    rows = rows.select(bucket, "own", "n", "place", "rep", "component", "parity").repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
+    rows = with_parity(rows.select(bucket, "own", "n", "place", "rep", "component")).repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
+    rows = rows.select("bucket", "own", "n", "place", "rep", "component", "parity")
     more = stored(rows.mapInArrow(_rest(similarity), "a long, b long").distinct(), "more")
     return components(links.unionByName(similar(more, texts, similarity)))
 

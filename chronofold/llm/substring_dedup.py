@@ -84,6 +84,11 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base][0][:n], _powers[base][1][:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the first base and of its inverse."""
+    return _power(BASES[0], n)
+
+
 def rolling(words: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
     """A 64-bit hash of each run of so many words."""
     n = len(words) - width + 1
