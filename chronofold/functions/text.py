@@ -104,9 +104,10 @@ def relative_date(value: Column, now: Column) -> Column:
 
 
 def prompt_title(prompt: Column) -> Column:
-    """The first sentence where it has 24 to 105 characters, else the beginning."""
-    sentence = F.regexp_extract(prompt, r"^\s*(.{23,104}?[.!?])(?:\s|$)", 1)
-    return F.when(sentence != "", sentence).otherwise(F.substring(F.trim(prompt), 1, 105))
+    """The first sentence where 24 to 105 characters stand before its mark, else the first 104 characters; white space is collapsed."""
+    plain = F.trim(F.regexp_replace(prompt, r"\s+", " "))
+    sentence = F.regexp_extract(plain, r"^(.{24,105}?[.!?])(?:\s|$)", 1)
+    return F.when(sentence != "", sentence).when(F.length(plain) > 104, F.concat(F.substring(plain, 1, 104), F.lit("…"))).otherwise(plain)
 
 
 def quote_value(value: str) -> str:

@@ -38,7 +38,7 @@ def _split(query: str) -> tuple[list[str], bool]:
 def parse(query: str) -> tuple[list[Term], list[str]]:
     """Clauses and messages about tokens that are none; the clauses apply all the same."""
     tokens, still_open = _split(query)
-    terms, errors = [], ["Close the open quote."] if still_open else []
+    terms, errors = [], ["a quotation has no end"] if still_open else []
 
     def bare(value: str) -> str:
         return value[1:-1] if value.startswith('"') and value.endswith('"') else value
@@ -53,9 +53,9 @@ def parse(query: str) -> tuple[list[Term], list[str]]:
             continue
         name, value = name.lower(), bare(value)
         if name not in FIELDS and not name.startswith("tag."):
-            errors.append(f"Unknown field {name}.")
+            errors.append(f"{name} is no field of the filter")
         elif not value:
-            errors.append(f"Add a value after {name}:.")
+            errors.append(f"{name}: stands without a value")
         else:
             m = re.match(r"(>=|<=|>|<|=)(.+)$", value, re.S)
             terms.append(Term(name, m[1] if m else "contains", m[2] if m else value, negated))

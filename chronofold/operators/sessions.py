@@ -117,19 +117,10 @@ def with_context(records: DataFrame, matches: Column, mode: str = "context") ->
     return records.withColumn("__near", near).where("__near").drop("__near")
 
 
-def run_map(records: DataFrame) -> DataFrame:
-    """Left edge and width in percent of each record on its conversation's time line."""
-    start, end = F.min("occurred_at").over(conversation()), F.max("occurred_at").over(conversation())
-    span = F.greatest(F.lit(1), F.unix_millis(end) - F.unix_millis(start))
-    left = F.least(F.lit(99.2), (F.unix_millis("occurred_at") - F.unix_millis(start)) * 100.0 / span)
-    following = F.lead("occurred_at").over(in_order())
-    width = F.greatest(F.lit(0.65), F.coalesce((F.unix_millis(following) - F.unix_millis("occurred_at")) * 100.0 / span, F.lit(0.0)))
-    return records.withColumns({"left_pct": left, "width_pct": F.least(width, F.lit(100.0) - left)})
-
-
 def daily_activity(rolled: DataFrame, today: Column, days: int = 14, timezone: str = "UTC") -> DataFrame:
-    """(day, sessions, events, agents) of each of the last days by the conversations' last record; days without any are 0."""
-    day = F.to_date(F.from_utc_timestamp("last_seen", timezone))
+    """(day, sessions, events, agents) of each of the last days by the conversations' first record; days without any are 0."""
+    days = max(1, days)
+    day = F.to_date(F.from_utc_timestamp("first_seen", timezone))
     calendar = rolled.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(today, days - 1), today)).alias("day"))
     of = rolled.withColumn("day", day).where(F.col("day").between(F.date_sub(today, days - 1), today))
     totals = of.groupBy("day").agg(F.count(F.lit(1)).alias("sessions"), F.sum("record_count").alias("events"))
@@ -138,12 +129,11 @@ def daily_activity(rolled: DataFrame, today: Column, days: int = 14, timezone: s
 
 
 def activity_totals(rolled: DataFrame, today: Column, days: int = 14, timezone: str = "UTC") -> DataFrame:
-    """Sessions, events, distinct agents, active days and the busiest day's events."""
-    daily = daily_activity(rolled, today, days, timezone)
-    day = F.to_date(F.from_utc_timestamp("last_seen", timezone))
-    agents = rolled.where(day.between(F.date_sub(today, days - 1), today)).select(F.explode("agents").alias("a")).agg(F.count_distinct("a").alias("agents"))
-    sums = daily.agg(F.sum("sessions").alias("sessions"), F.sum("events").alias("events"), F.count_if(F.col("sessions") > 0).alias("active_days"), F.max("events").alias("max_events"))
-    return sums.join(F.broadcast(agents))
+    """Sessions, events and distinct agents of all conversations; active days and the busiest day's events of the last days."""
+    daily = daily_activity(rolled, today, days, timezone).agg(F.count_if(F.col("sessions") > 0).alias("active_days"), F.greatest(F.lit(1), F.max("events")).alias("max_events"))
+    agents = rolled.select(F.explode("agents").alias("a")).agg(F.count_distinct("a").alias("agents"))
+    sums = rolled.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("events"))
+    return sums.join(F.broadcast(daily)).join(F.broadcast(agents))
 
 
 def export(records: DataFrame, rolled: DataFrame) -> DataFrame:

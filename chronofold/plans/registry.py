@@ -29,6 +29,8 @@ VIEWS = {
       TIMESTAMP '2024-01-01' + to_minutes(conv_id::INT) + to_seconds(turn) AS occurred_at, turn AS sequence, text, role FROM conversations""",
     "sd": """SELECT 'doc_' || doc_id AS id, source AS conversation_id, lang, 'text ' || chr(10) || text AS search_text,
       TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT) AS occurred_at FROM documents""",
+    "lr": """SELECT 'conv_order_' || l_orderkey AS conversation_id, 'rec_line_' || l_orderkey || '_' || n AS id, n - 1 AS position, CASE WHEN n % 2 = 1 THEN 'tool.call' ELSE 'tool.result' END AS kind,
+      n * 4000000 + l_partkey * 7 % 3999000 AS ms FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)""",
 }
 
 
@@ -104,12 +106,6 @@ def _(spark, sf):
     return query.session_list(query.conversations(_events(spark, sf)), "agent", "7").select("conversation_id", "record_count")
 
 
-@register("rollup_by_streaming_batches", f"SELECT conversation_id, {_ROLLUP} FROM er GROUP BY 1", ("er",))
-def _(spark, sf):
-    parts = query.deltas(_events(spark, sf), F.concat(F.lit("batch_"), (F.xxhash64("id") % 7).cast("string")))
-    return _plain(query.merge(parts))
-
-
 # filters, timelines, look-ups
 
 _RECORD = "id, conversation_id, kind, occurred_at, trace_id, agent, tool, status"
@@ -191,14 +187,6 @@ def _(spark, sf):
 # sessions
 
 
-@register("run_map_geometry", """SELECT id, round(l, 6) AS left_pct, round(least(greatest(0.65, coalesce(w, 0.0)), 100.0 - l), 6) AS width_pct FROM (
-  SELECT id, least(99.2, (t - s) * 100.0::DOUBLE / greatest(1, e - s)) AS l, (nx - t) * 100.0::DOUBLE / greatest(1, e - s) AS w FROM (
-    SELECT id, ms AS t, min(ms) OVER p AS s, max(ms) OVER p AS e, lead(ms) OVER (PARTITION BY conversation_id ORDER BY occurred_at, id) AS nx
-    FROM er WINDOW p AS (PARTITION BY conversation_id)))""", ("er",))
-def _(spark, sf):
-    return sessions.run_map(_events(spark, sf)).select("id", F.round("left_pct", 6).alias("left_pct"), F.round("width_pct", 6).alias("width_pct"))
-
-
 _ISLANDS = """WITH m AS (SELECT *, kind IN ('message.user', 'message.assistant') AS msg, row_number() OVER (PARTITION BY conversation_id ORDER BY occurred_at, id) - 1 AS position FROM er),
   b AS (SELECT *, sum(msg::INT) OVER (PARTITION BY conversation_id ORDER BY occurred_at, id) AS before FROM m),
   i AS (SELECT *, CASE WHEN msg THEN 2 * before - 1 ELSE 2 * before END AS block FROM b)"""
@@ -229,6 +217,13 @@ def _(spark, sf):
     return sessions.coalesced(_events(spark, sf)).select("conversation_id", "id", "kind", "grouped_count")
 
 
+@register("assistant_coalesce_text", """WITH g AS (SELECT *, CASE WHEN kind = 'message.assistant' AND lag(kind) OVER p = kind THEN 0 ELSE 1 END AS new FROM cr WINDOW p AS (PARTITION BY conversation_id ORDER BY occurred_at, sequence, id)),
+  n AS (SELECT *, sum(new) OVER (PARTITION BY conversation_id ORDER BY occurred_at, sequence, id) AS island FROM g)
+  SELECT conversation_id, arg_min(id, sequence) AS id, count(*) AS grouped_count, string_agg(text, '' ORDER BY sequence) AS text FROM n GROUP BY conversation_id, island""", ("cr",))
+def _(spark, sf):
+    return sessions.coalesced(_turns(spark, sf)).select("conversation_id", "id", "grouped_count", "text")
+
+
 @register("session_kpis", """SELECT conversation_id, CASE WHEN count(*) FILTER (status = 'error') > 0 THEN 'failed' ELSE 'captured' END AS status, max(ms) - min(ms) AS duration_ms,
   count(*) FILTER (kind = 'agent.turn.started') AS turns, count(*) FILTER (kind = 'tool.call') AS tool_calls, 0::BIGINT AS model_calls, count(DISTINCT trace_id) AS n_traces FROM er GROUP BY 1""", ("er",))
 def _(spark, sf):
@@ -241,13 +236,13 @@ def _(spark, sf):
     return sessions.analyze(_turns(spark, sf)).where("prompt <> ''").select("conversation_id", "prompt")
 
 
-_DAILY = """WITH c AS (SELECT conversation_id, count(*) AS n, max(occurred_at)::DATE AS day FROM er GROUP BY 1), t AS (SELECT max(day) AS today FROM c),
+_DAILY = """WITH c AS (SELECT conversation_id, count(*) AS n, min(occurred_at)::DATE AS day FROM er GROUP BY 1), t AS (SELECT max(day) AS today FROM c),
   cal AS (SELECT unnest(generate_series(today - INTERVAL 13 DAY, today::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM t),
   a AS (SELECT c.day, e.agent FROM c JOIN er e USING (conversation_id) GROUP BY ALL)"""
 
 
 def _today(rolled: DataFrame):
-    return F.lit(rolled.agg(F.max(F.to_date("last_seen"))).first()[0])
+    return F.lit(rolled.agg(F.max(F.to_date("first_seen"))).first()[0])
 
 
 @register("daily_activity", _DAILY + " SELECT cal.day, count(c.conversation_id) AS sessions, coalesce(sum(c.n), 0)::BIGINT AS events, (SELECT count(*) FROM a WHERE a.day = cal.day) AS agents FROM cal LEFT JOIN c ON c.day = cal.day GROUP BY cal.day", ("er",))
@@ -256,7 +251,7 @@ def _(spark, sf):
     return sessions.daily_activity(rolled, _today(rolled))
 
 
-@register("activity_totals", _DAILY + ", d AS (SELECT cal.day, count(c.conversation_id) AS sessions, coalesce(sum(c.n), 0)::BIGINT AS events FROM cal LEFT JOIN c ON c.day = cal.day GROUP BY cal.day) SELECT sum(sessions)::BIGINT AS sessions, sum(events)::BIGINT AS events, count(*) FILTER (sessions > 0) AS active_days, max(events) AS max_events, (SELECT count(DISTINCT agent) FROM a WHERE day IN (SELECT day FROM cal)) AS agents FROM d", ("er",))
+@register("activity_totals", _DAILY + ", d AS (SELECT cal.day, count(c.conversation_id) AS sessions, coalesce(sum(c.n), 0)::BIGINT AS events FROM cal LEFT JOIN c ON c.day = cal.day GROUP BY cal.day) SELECT (SELECT count(*) FROM c) AS sessions, (SELECT sum(n)::BIGINT FROM c) AS events, count(*) FILTER (sessions > 0) AS active_days, greatest(1, max(events)) AS max_events, (SELECT count(DISTINCT agent) FROM er) AS agents FROM d", ("er",))
 def _(spark, sf):
     rolled = query.conversations(_events(spark, sf))
     return sessions.activity_totals(rolled, _today(rolled))
@@ -274,7 +269,7 @@ def _dsl(name: str, text_: str, where: str) -> None:
 _dsl("dsl_wildcard", "kind:tool.* tool:tool_*3", "kind LIKE 'tool.%' AND tool LIKE 'tool_%3'")
 _dsl("dsl_negation", "-status:error -kind:message agent:AGENT_1", "coalesce(status, '') NOT LIKE '%error%' AND kind NOT LIKE '%message%' AND contains(agent, 'agent_1')")
 _dsl("dsl_has", "has:tool -has:status", "tool IS NOT NULL AND status IS NULL")
-_dsl("dsl_size_offset", "size:>=0.009kb offset:<=200h offset:>1s", "content_size >= 9.216 AND offset_ms <= 720000000 AND offset_ms > 1000")
+_dsl("dsl_size_offset", "size:>=0.007kb offset:<=200h offset:>1s", "content_size >= 7.168 AND offset_ms <= 720000000 AND offset_ms > 1000")
 _dsl("dsl_or", "tool:tool_1|tool_4 status:=ERROR", "(contains(tool, 'tool_1') OR contains(tool, 'tool_4')) AND status = 'error'")
 _dsl("dsl_text_tag", 'tag.k:4 trace_1', "contains(k::VARCHAR, '4') AND contains(trace_id, 'trace_1')")
 
@@ -282,9 +277,11 @@ _dsl("dsl_text_tag", 'tag.k:4 trace_1', "contains(k::VARCHAR, '4') AND contains(
 # set operations and integrity
 
 
-@register("orphan_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("orphan_anti_join", "SELECT 'blob_' || p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 3 = 1)")
 def _(spark, sf):
-    return query.unseen(adapters.table(spark, sf, "customer").select("c_custkey"), adapters.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    lines, parts = adapters.table(spark, sf, "lineitem"), adapters.table(spark, sf, "part")
+    rows = lines.select(F.when(F.col("l_linenumber") % 3 == 1, "blob").otherwise("segment").alias("storage"), F.concat(F.lit("blob_"), F.col("l_partkey").cast("string")).alias("content_key"))
+    return integrity.orphans(rows, parts.select(F.concat(F.lit("blob_"), F.col("p_partkey").cast("string")).alias("key")))
 
 
 @register("unseen_anti_join", "SELECT id FROM er WHERE k < 50", ("er",))
@@ -297,12 +294,7 @@ def _line_duplicates(rows: DataFrame) -> DataFrame:
     return integrity.duplicate_ids(rows.select(F.concat(F.lit("s"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("key"), F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_partkey").alias("entry_index")))
 
 
-@register("duplicate_ids", "SELECT key, 'DUPLICATE_RECORD: ' || id || ' also in ' || before AS issue FROM (SELECT 's' || lpad(l_linenumber::VARCHAR, 2, '0') AS key, 'r' || l_orderkey AS id, lag('s' || lpad(l_linenumber::VARCHAR, 2, '0')) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem WHERE l_orderkey < 2000) WHERE before IS NOT NULL")
-def _(spark, sf):
-    return _line_duplicates(adapters.table(spark, sf, "lineitem").where("l_orderkey < 2000"))
-
-
-@register("duplicate_ids_all", "SELECT key, 'DUPLICATE_RECORD: ' || id || ' also in ' || before AS issue FROM (SELECT 's' || lpad(l_linenumber::VARCHAR, 2, '0') AS key, 'r' || l_orderkey AS id, lag('s' || lpad(l_linenumber::VARCHAR, 2, '0')) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem) WHERE before IS NOT NULL")
+@register("duplicate_ids", "SELECT key, 'DUPLICATE_RECORD: ' || id || ' also in ' || before AS issue FROM (SELECT 's' || lpad(l_linenumber::VARCHAR, 2, '0') AS key, 'r' || l_orderkey AS id, lag('s' || lpad(l_linenumber::VARCHAR, 2, '0')) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem) WHERE before IS NOT NULL")
 def _(spark, sf):
     return _line_duplicates(adapters.table(spark, sf, "lineitem"))
 
@@ -463,9 +455,36 @@ def _(spark, sf):
 # operations of a trace
 
 
-@register("trace_operations")
+# the lines of an order are steps: odd ones call a tool, even ones return its result; every second order's tool differs by line
+
+
+_STEPS = """o AS (SELECT conversation_id, position, id, kind, ms, lead(id) OVER p AS next_id, lead(kind) OVER p AS next_kind, lead(ms) OVER p AS next_ms FROM lr WINDOW p AS (PARTITION BY conversation_id ORDER BY position)),
+  ops AS (SELECT conversation_id, position, kind, ms, CASE WHEN kind = 'tool.call' AND next_kind = 'tool.result' THEN next_ms ELSE ms END AS end_ms, CASE WHEN kind = 'tool.call' AND next_kind = 'tool.result' THEN id || '::' || next_id ELSE id END AS id, CASE WHEN kind = 'tool.call' AND next_kind = 'tool.result' THEN 2 ELSE 1 END AS grouped_count FROM o WHERE kind = 'tool.call' OR position % 2 = 0)"""
+
+
+@register("trace_operations", f"WITH {_STEPS} SELECT conversation_id, position::INT AS position, id, kind, end_ms - ms AS duration_ms, grouped_count FROM ops", ("lr",))
+def _(spark, sf):
+    return operations.build(adapters.records_from_lines(spark, sf)).select("conversation_id", "position", "id", "kind", "duration_ms", "grouped_count")
+
+
+@register("run_map_geometry", f"WITH {_STEPS} SELECT id, round(least(99.2, l), 6) AS left_pct, round(least(100.0 - l, greatest(0.65, w)), 6) AS width_pct FROM (SELECT id, (ms - s) * 100.0::DOUBLE / greatest(1, e - s) AS l, (end_ms - ms) * 100.0::DOUBLE / greatest(1, e - s) AS w FROM (SELECT *, min(ms) OVER (PARTITION BY conversation_id) AS s, max(end_ms) OVER (PARTITION BY conversation_id) AS e FROM ops))", ("lr",))
+def _(spark, sf):
+    shown = operations.run_map(operations.build(adapters.records_from_lines(spark, sf)))
+    return shown.select("id", F.round("left_pct", 6).alias("left_pct"), F.round("width_pct", 6).alias("width_pct"))
+
+
+_ANSWERS = """g AS (SELECT *, CASE WHEN kind = 'message.assistant' AND lag(kind) OVER p = kind THEN 0 ELSE 1 END AS new FROM cr WINDOW p AS (PARTITION BY conversation_id ORDER BY occurred_at, sequence, id)),
+  n AS (SELECT *, sum(new) OVER (PARTITION BY conversation_id ORDER BY occurred_at, sequence, id) AS island FROM g)"""
+
+
+@register("answer_operations", f"WITH {_ANSWERS} SELECT conversation_id, arg_min(id, sequence) AS id, count(*)::INT AS grouped_count, string_agg(text, '' ORDER BY sequence) AS summary FROM n GROUP BY conversation_id, island", ("cr",))
+def _(spark, sf):
+    return operations.build(_turns(spark, sf)).select("conversation_id", "id", "grouped_count", "summary")
+
+
+@register("inspector_context", f"WITH {_STEPS}, f AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY position) AS n, ends_with(id, '_2') AS hit FROM ops WHERE end_ms - ms >= 1000), x AS (SELECT *, max(hit::INT) OVER (PARTITION BY conversation_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM f) SELECT id, hit AS matched FROM x WHERE near = 1", ("lr",))
 def _(spark, sf):
-    return operations.build(_events(spark, sf))
+    return operations.inspect(adapters.records_from_lines(spark, sf), "operations", "slow", "tag.line:=2").select("id", "matched")
 
 
 @register("raw_operations", "SELECT id, duration_ms, status, grouped_count FROM (SELECT id, 0::BIGINT AS duration_ms, status, 1::INT AS grouped_count FROM er)", ("er",))
@@ -478,9 +497,9 @@ def _(spark, sf):
     return operations.overview(operations.build(_events(spark, sf), raw=True)).select("id")
 
 
-@register("focus_slow")
+@register("focus_slow", f"WITH {_STEPS} SELECT conversation_id, id, end_ms - ms AS duration_ms FROM ops WHERE end_ms - ms >= 1000", ("lr",))
 def _(spark, sf):
-    return operations.build(_events(spark, sf)).where(operations.focus("slow")).select("conversation_id", "id", "duration_ms")
+    return operations.build(adapters.records_from_lines(spark, sf)).where(operations.focus("slow")).select("conversation_id", "id", "duration_ms")
 
 
 @register("focus_counts", "SELECT conversation_id, count(*) AS \"all\", count(*) FILTER (kind LIKE 'tool.%') AS tools, 0::BIGINT AS reasoning, 0::BIGINT AS slow, count(*) FILTER (status = 'error') AS errors FROM er GROUP BY 1", ("er",))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.schema import ROW
@@ -44,6 +44,21 @@ def records_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as steps of a conversation: odd ones call a tool, even ones are its result."""
+    step = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    x = table(spark, sf_dir, "lineitem").withColumn("step", step)
+    number = F.col("step").cast("string")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(step * 4000000 + l_partkey * 7 % 3999000 as decimal(18, 6)) / 1000)")
+    return _row(
+        x,
+        id=F.concat_ws("_", F.lit("rec_line"), F.col("l_orderkey").cast("string"), number), conversation_id=F.concat(F.lit("conv_order_"), F.col("l_orderkey").cast("string")),
+        kind=F.when(F.col("step") % 2 == 1, "tool.call").otherwise("tool.result"), occurred_at=at, sequence=F.col("step"),
+        tool=F.concat(F.lit("tool_"), F.when(F.col("l_orderkey") % 2 == 0, F.lit("x")).otherwise(number)), trace_id=F.lit("trace_1"), content=F.to_json(F.struct(F.col("l_returnflag").alias("flag"))),
+        tags=F.create_map(F.lit("line"), number),
+    )
+
+
 def documents_for_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of documents with their search text (the key text is part of it)."""
     d = table(spark, sf_dir, "documents")

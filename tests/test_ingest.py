@@ -68,12 +68,15 @@ def test_kinds(spark):
 
 def test_hooks_and_blocks(spark):
     rows = spark.createDataFrame(
-        [("PreToolUse", "s1", "u1", "Bash", None, None, "{}"), ("PostToolUseFailure", "s 2", None, "Bash", "a1", "helper", "{}"), ("New", "s1", None, None, None, None, "{}"), ("Stop", "", None, None, None, None, "{}")],
+        [("PreToolUse", "s1", "u1", "Bash", None, None, "{}"), ("PostToolUseFailure", "s 2", None, "Bash", "a1", "helper", "{}"), ("New", "s1", None, None, None, None, "{}")],
         "hook_event_name string, session_id string, tool_use_id string, tool_name string, agent_id string, agent_type string, payload string",
     )
     got = normalize.records_from_hooks(rows, default_agent="main").collect()
     assert [(r["kind"], r["status"], r["agent"], r["span_id"]) for r in got] == [("tool.call", "running", "main", "u1"), ("tool.result", "error", "helper", "a1"), ("agent.hook", None, "main", None)]
     assert got[1]["trace_id"] is None and got[1]["conversation_id"].startswith("conv_claude_")
+    for missing in ("", None):
+        with pytest.raises(Exception, match="session_id"):
+            normalize.records_from_hooks(spark.createDataFrame([("Stop", missing, None, None, None, None, "{}")], rows.schema)).collect()
     blocks = spark.createDataFrame([("text", False), ("server_tool_use", False), ("web_search_tool_result", True), ("thinking", False)], "t string, f boolean")
     assert [tuple(r["b"]) for r in blocks.select(normalize.block_kind(F.col("t"), F.col("f")).alias("b")).collect()] == [("message.assistant", None, "completed"), ("tool.call", "web_search", "started"), ("tool.result", "web_search", "failed"), ("anthropic.thinking", None, None)]
 

@@ -1,8 +1,11 @@
 from datetime import UTC, datetime
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from chronofold.functions import text
 from chronofold.operators import dsl, operations, query, search, sessions
 from chronofold.operators.query import RecordFilter
 from chronofold.schema import ROW, HistoryError
@@ -142,12 +145,13 @@ def test_context(spark):
 
 
 def test_daily_activity(spark):
-    df = rows(spark, {"conversation_id": "c1", "agent": "a", "at": 86_400}, {"conversation_id": "c2", "agent": "a", "at": 2 * 86_400}, {"conversation_id": "c3", "agent": "b", "at": 2 * 86_400}, {"conversation_id": "old", "agent": "z", "at": -9 * 86_400})
+    # a conversation counts on the day it began; totals are of all conversations, days of the window
+    df = rows(spark, {"conversation_id": "c1", "agent": "a", "at": 86_400}, {"conversation_id": "c1", "agent": "c", "at": 2 * 86_400}, {"conversation_id": "c2", "agent": "a", "at": 2 * 86_400}, {"conversation_id": "c3", "agent": "b", "at": 2 * 86_400}, {"conversation_id": "old", "agent": "z", "at": -9 * 86_400})
     rolled = query.conversations(df)
     got = sessions.daily_activity(rolled, F.lit("2026-01-03").cast("date"), 3).orderBy("day").collect()
-    assert [(r["sessions"], r["agents"], r["events"]) for r in got] == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
+    assert [(r["sessions"], r["agents"], r["events"]) for r in got] == [(0, 0, 0), (1, 2, 2), (2, 2, 2)]
     t = sessions.activity_totals(rolled, F.lit("2026-01-03").cast("date"), 3).first()
-    assert (t["sessions"], t["events"], t["active_days"], t["max_events"], t["agents"]) == (3, 3, 2, 2, 2)
+    assert (t["sessions"], t["events"], t["active_days"], t["max_events"], t["agents"]) == (4, 5, 2, 2, 4)
 
 
 def test_operations_pair_calls_with_results(spark):
@@ -161,16 +165,58 @@ def test_operations_pair_calls_with_results(spark):
     assert [r["id"] for r in got] == ["rec_0::rec_2", "rec_1", "rec_3::rec_4", "rec_5"]
     assert (got[0]["title"], got[0]["duration_ms"], got[0]["grouped_count"], got[0]["summary"], got[0]["status"]) == ("Query Logs", 3000, 2, "find it · 2 results returned", "ok")
     assert (got[2]["title"], got[2]["status"], got[3]["grouped_count"], got[3]["duration_ms"]) == ("Run command", "error", 2, 0)
+    # joined answers read as one
+    assert got[3]["summary"] == "ab" and got[3]["entry_ids"] == ["rec_5"]
     assert operations.build(df, raw=True).count() == 7
     counts = operations.focus_counts(operations.build(df)).first()
     assert (counts["all"], counts["tools"], counts["slow"], counts["errors"]) == (4, 2, 2, 1)
 
 
+def paired(kinds, tools, traces, calls):
+    pairing = operations.Pairing()
+    return [pairing.place(*x) for x in zip(kinds, tools, traces, calls)]
+
+
 def test_greedy_pairing_rules():
     # an id pairs over other tools; the next call of the same tool ends the search
-    assert operations.group(["tool.call", "tool.call", "tool.result", "tool.result"], ["a", "b", "b", "a"], [None] * 4, [None] * 4) == [(0, [0, 3], 2), (1, [1, 2], 2)]
-    assert operations.group(["tool.call", "x", "tool.call", "tool.result"], ["a", None, "a", "a"], [None] * 4, [None] * 4) == [(0, [0], 1), (1, [1], 1), (2, [2, 3], 2)]
-    assert operations.group(["tool.call", "x", "tool.result"], ["a", None, "b"], ["t", "t", "u"], ["c1", None, "c1"]) == [(0, [0, 2], 2), (1, [1], 1)]
+    assert paired(["tool.call", "tool.call", "tool.result", "tool.result"], ["a", "b", "b", "a"], [None] * 4, [None] * 4) == [0, 1, 1, 0]
+    assert paired(["tool.call", "x", "tool.call", "tool.result"], ["a", None, "a", "a"], [None] * 4, [None] * 4) == [0, 1, 2, 2]
+    assert paired(["tool.call", "x", "tool.result"], ["a", None, "b"], ["t", "t", "u"], ["c1", None, "c1"]) == [0, 1, 0]
+    assert paired(["message.assistant", "message.assistant", "x", "message.assistant"], [None] * 4, ["t", "t", "t", "t"], [None] * 4) == [0, 0, 2, 3]
+
+
+def slow_pairing(kinds, tools, traces, calls):
+    """Call by call, each looks ahead for its result."""
+    out, used = list(range(len(kinds))), set()
+    for i, kind in enumerate(kinds):
+        if kind != "tool.call":
+            continue
+        for j in range(i + 1, len(kinds)):
+            if j in used:
+                continue
+            if kinds[j] == "tool.call" and tools[j] == tools[i]:
+                break
+            if kinds[j] == "tool.result" and (calls[i] and calls[i] == calls[j] or (tools[i], traces[i]) == (tools[j], traces[j]) or j == i + 1):
+                used.add(j)
+                out[j] = i
+                break
+    return out
+
+
+def test_pairing_in_one_pass_equals_looking_ahead():
+    rng = random.Random(3)
+    for _ in range(3000):
+        n = rng.randint(1, 14)
+        case = [[rng.choice(x) for _ in range(n)] for x in (["tool.call", "tool.call", "tool.result", "tool.result", "x"], ["a", "b", "c", None], ["t", "u"], ["i", "j", None, None])]
+        assert paired(*case) == slow_pairing(*case), case
+
+
+def test_inspector_shows_matches_in_context(spark):
+    df = rows(spark, *({"kind": "tool.call" if k % 2 else "message.user", "tool": f"t{k}", "at": k} for k in range(10)))
+    ids = lambda **kw: [r["position"] for r in operations.inspect(df, **kw).orderBy("position").collect()]
+    assert ids() == list(range(10)) and ids(focus_on="tools") == [1, 3, 5, 7, 9] and ids(density="overview", focus_on="tools") == [1, 3, 5, 7, 9]
+    assert ids(focus_on="tools", text="tool:=t5") == [3, 5, 7] and ids(focus_on="tools", text="tool:=t5", context="matches") == [5] and ids(focus_on="tools", text="tool:=t5", context="full") == [1, 3, 5, 7, 9]
+    assert ids(density="records", text="tool:=t4", context="context") == [3, 4, 5] and ids(focus_on="tools", text="tool:=t4") == []
 
 
 def test_overview(spark):
@@ -212,7 +258,14 @@ def test_filter_language(spark):
 
 
 def test_run_map_and_latest(spark):
-    df = rows(spark, {"at": 0, "kind": "message.assistant"}, {"at": 50, "kind": "message.assistant"}, {"at": 100})
-    got = sessions.run_map(df).orderBy("occurred_at").collect()
-    assert [(r["left_pct"], r["width_pct"]) for r in got] == [(0.0, 50.0), (50.0, 50.0), (99.2, pytest.approx(0.65))]
-    assert [r["is_latest"] for r in query.latest(df, "message.assistant").orderBy("occurred_at").collect()] == [False, True, False]
+    df = rows(spark, {"at": 0, "kind": "tool.call", "tool": "a"}, {"at": 50, "kind": "tool.result", "tool": "a"}, {"at": 60, "kind": "message.assistant"}, {"at": 100, "kind": "x"})
+    got = operations.run_map(operations.build(df)).orderBy("position").collect()
+    assert [(r["left_pct"], r["width_pct"]) for r in got] == [(0.0, 50.0), (60.0, 0.65), (99.2, 0.0)]
+    assert [r["is_latest"] for r in query.latest(df, "message.assistant").orderBy("occurred_at").collect()] == [False, False, True, False]
+
+
+def test_prompt_titles(spark):
+    one = lambda t: spark.createDataFrame([(t,)], "p string").select(text.prompt_title(F.col("p")).alias("x")).first()["x"]
+    assert one("Fix it. Then look for the other things that are broken here") == "Fix it. Then look for the other things that are broken here"
+    assert one("Look for   the things\nthat are broken here! Then fix them") == "Look for the things that are broken here!"
+    assert one("x" * 300) == "x" * 104 + "…" and one("x" * 104) == "x" * 104
