@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.schema import HistoryError, checked_limit, order_key, time_order
+from chronofold.sources import store
 
 EXACT = ("conversation_id", "trace_id", "kind", "agent", "tool", "status")
 
@@ -78,11 +79,10 @@ def get(records: DataFrame, record_id: str) -> DataFrame:
 
 
 def timeline(records: DataFrame, conversation_id: str, blobs: DataFrame | None = None) -> DataFrame:
-    """A conversation's records in order, with contents from blobs(sha256, content) where they are not inline."""
+    """A conversation's records in order, with verified contents from blobs where they are not inline."""
     rows = records.where(F.col("conversation_id") == conversation_id)
     if blobs is not None:
-        theirs = blobs.select(F.col("sha256").alias("content_sha256"), F.col("content").alias("blob"))
-        rows = rows.join(theirs, "content_sha256", "left").withColumn("content", F.coalesce("content", "blob")).drop("blob")
+        rows = store.hydrated(rows, blobs)
     if rows.isEmpty():
         raise HistoryError("NOT_FOUND", conversation_id)
     return rows.orderBy(*time_order())

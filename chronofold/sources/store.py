@@ -15,8 +15,10 @@ from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofold.functions.jsontext import canonical, encode, sha256
 from chronofold.schema import INLINE_CONTENT_BYTES, MAX_CONTENT_BYTES, MAX_SEGMENT_BYTES, MAX_SEGMENT_RECORDS, RECORD, RECORD_SCHEMA, SEGMENT_SCHEMA, HistoryError, valid_id
@@ -204,25 +206,83 @@ def same_batch(first: dict, again: dict, events: list[Event]) -> bool:
 
 # reading in bulk
 
+SEGMENT_FIELDS = {"schema_version", "id", "conversation_id", "conversation_hash", "created_at", "segment_sha256", "entries"}
+RECORD_FIELDS, CONTENT_FIELDS = set(RECORD.fieldNames()), set(RECORD["content"].dataType.fieldNames())
+
+
+def segment_issue(key: str, raw: str) -> str | None:
+    """What is wrong with a segment's text, None if nothing."""
+    try:
+        segment = json.loads(raw)
+        if segment["schema_version"] != SEGMENT_SCHEMA:
+            return "SCHEMA_UNSUPPORTED"
+        if encode(segment) != raw:
+            return "SEGMENT_CORRUPT: not canonical"
+        if set(segment) != SEGMENT_FIELDS:
+            return "SEGMENT_CORRUPT: fields"
+        if segment["segment_sha256"] != digest_without(segment, "segment_sha256"):
+            return "SEGMENT_CORRUPT: checksum"
+        conversation = segment["conversation_id"]
+        if key != segment_key(conversation, segment["id"]) or segment["conversation_hash"] != conversation_hash(conversation):
+            return "SEGMENT_CORRUPT: place"
+        ids = [e["record"]["id"] for e in segment["entries"]]
+        if len(set(ids)) < len(ids) or not ids:
+            return "SEGMENT_CORRUPT: repeated id"
+        for n, entry in enumerate(segment["entries"]):
+            record, content = entry["record"], entry["record"]["content"]
+            if not set(entry) <= {"record", "content"} or not set(record) <= RECORD_FIELDS or not set(content) <= CONTENT_FIELDS:
+                return f"RECORD_CORRUPT: fields of {record['id']}"
+            if record["schema_version"] != RECORD_SCHEMA:
+                return "SCHEMA_UNSUPPORTED"
+            if not valid_id(record["id"]) or record["conversation_id"] != conversation or record["record_sha256"] != digest_without(record, "record_sha256"):
+                return f"RECORD_CORRUPT: {record['id']}"
+            if content["storage"] == "segment":
+                text = encode(entry["content"])
+                if content["key"] != key or content["entry_index"] != n or content["sha256"] != sha256(text) or content["size"] != len(text.encode()):
+                    return f"RECORD_CORRUPT: content of {record['id']}"
+            elif "content" in entry or content["key"] != blob_key(content["sha256"]):
+                return f"RECORD_CORRUPT: content of {record['id']}"
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        return f"SEGMENT_CORRUPT: {type(e).__name__}"
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _issues(keys: pd.Series, raws: pd.Series) -> pd.Series:
+    return pd.Series([segment_issue(k, r) for k, r in zip(keys, raws)])
+
+
 _NESTED = "schema_version string, id string, conversation_id string, conversation_hash string, created_at string, segment_sha256 string, entries array<struct<record:{record},content:string>>"
 
 
 def segments(spark: SparkSession, root: str) -> DataFrame:
-    """All segments below a root, with their key and raw text."""
+    """All segments below a root, with their key, raw text, content and what is wrong with them (null: nothing)."""
     found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*.json").text(f"{root.rstrip('/')}/history/v2/conversations")
     schema = _NESTED.format(record=RECORD.simpleString())
     key = F.regexp_extract(F.col("_metadata.file_path"), r"(history/v2/conversations/.*)$", 1)
-    return found.select(key.alias("key"), F.col("value").alias("raw"), F.from_json("value", schema).alias("segment"))
+    rows = found.select(key.alias("key"), F.col("value").alias("raw"))
+    return rows.select("key", "raw", F.from_json("raw", schema).alias("segment"), _issues("key", "raw").alias("issue"))
 
 
 def records(found: DataFrame) -> DataFrame:
-    """A row per entry of segments(), with time and content; contents in blobs are null here."""
-    rows = found.select("key", F.col("segment.id").alias("segment_id"), F.posexplode("segment.entries").alias("entry_index", "entry"))
+    """A row per entry of segments(), with time and content; contents in blobs are null here. A damaged segment is an error."""
+    sound = F.when(F.col("issue").isNull(), F.col("segment.entries")).otherwise(F.raise_error(F.concat("issue", F.lit(" in "), "key")).cast(found.schema["segment"].dataType["entries"].dataType))
+    rows = found.select("key", F.col("segment.id").alias("segment_id"), F.posexplode(sound).alias("entry_index", "entry"))
     r = F.col("entry.record")
     plain = [r[f].alias(f) for f in ("id", "conversation_id", "kind", "trace_id", "span_id", "parent_id", "agent", "tool", "status", "tags", "record_sha256")]
     return rows.select("key", "segment_id", "entry_index", *plain, F.to_timestamp(r["occurred_at"]).alias("occurred_at"), r["sequence"].cast("long").alias("sequence"), F.col("entry.content").alias("content"), r["content"]["size"].alias("content_size"), r["content"]["sha256"].alias("content_sha256"), r["content"]["storage"].alias("storage"), r["content"]["key"].alias("content_key"))
 
 
+def hydrated(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """records() with the contents that lie in blobs(); a blob that is missing, or has another digest or size, is an error."""
+    theirs = found.select(F.col("key").alias("blob_key"), F.col("sha256").alias("blob_sha256"), F.col("size").alias("blob_size"), F.col("content").alias("blob"))
+    joined = rows.join(theirs, F.when(F.col("storage") == "blob", F.col("content_key")) == F.col("blob_key"), "left")
+    fault = lambda code: F.raise_error(F.concat(F.lit(f"{code}: "), "id")).cast("string")
+    sound = (F.col("blob_sha256") == F.col("content_sha256")) & (F.col("blob_size") == F.col("content_size"))
+    content = F.when(F.col("storage") != "blob", F.col("content")).when(F.col("blob_key").isNull(), fault("BLOB_MISSING")).when(~sound, fault("BLOB_CORRUPT")).otherwise(F.col("blob"))
+    return joined.withColumn("content", content).select(*rows.columns)
+
+
 def blobs(spark: SparkSession, root: str) -> DataFrame:
     """(key, sha256 of the bytes, size, content) of all blobs."""
     path = f"{root.rstrip('/')}/history/v2/blobs"

@@ -116,12 +116,32 @@ def test_stream_equals_batch_and_repeats_count_once(spark, tmp_path):
     assert got == {r["conversation_id"]: (r["record_count"], r["agents"], r["kinds"]) for r in batch.collect()}
     assert ingest.records(spark, f"file://{tmp_path}/out").count() == 30
     # a later file joins the compacted roll-up; the files read are not read again
-    ingest.compact(spark, f"file://{tmp_path}/out", 1)
+    ingest.compact(spark, f"file://{tmp_path}/out")
+    assert ingest.newest_snapshot(spark, f"file://{tmp_path}/out")[0] == 0 and not list((tmp_path / "out" / "deltas").glob("batch=*"))
     write(tmp_path / "in", "c.json", [record(40, "c1"), record(41, "new")])
     later = run(spark, tmp_path)
     assert later["new"][0] == 1 and later["c1"][0] == got["c1"][0] + 1 and later["c0"] == got["c0"]
 
 
+def test_late_and_repeated_records_across_batches(spark, tmp_path):
+    write(tmp_path / "in", "a.json", [record(1, occurred_at="2026-01-10T00:00:00Z"), record(2)])
+    run(spark, tmp_path)
+    write(tmp_path / "in", "b.json", [record(3, "late", occurred_at="2026-01-01T00:00:00Z"), record(1, "again"), record(4)])
+    write(tmp_path / "in", "c.json", [record(5, "late", occurred_at="2020-01-01T00:00:00Z"), record(3, "late")])
+    got = run(spark, tmp_path)
+    assert {k: v[0] for k, v in got.items()} == {"c1": 3, "late": 2}
+    out = f"file://{tmp_path}/out"
+    for _ in range(2):  # snapshot on snapshot
+        ingest.compact(spark, out)
+    assert {r["conversation_id"]: r["record_count"] for r in ingest.conversations(spark, out).collect()} == {"c1": 3, "late": 2}
+    assert ingest.newest_snapshot(spark, out)[0] == 1
+    # a version that was not written to its end does not count
+    broken = tmp_path / "out" / "snapshots" / "version=2"
+    broken.mkdir()
+    assert ingest.newest_snapshot(spark, out)[0] == 1
+    assert {r["conversation_id"]: r["record_count"] for r in ingest.rebuild(spark, out).collect()} == {"c1": 3, "late": 2}
+
+
 def test_hook_changes_and_drops(spark, tmp_path):
     write(tmp_path / "in", "a.json", [record(1), record(2, kind="secret")])
     got = run(spark, tmp_path, before_send=lambda df: df.where("kind <> 'secret'").withColumn("agent", F.lit("masked")))

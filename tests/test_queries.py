@@ -154,6 +154,36 @@ def test_daily_activity(spark):
     assert (t["sessions"], t["events"], t["active_days"], t["max_events"], t["agents"]) == (4, 5, 2, 2, 4)
 
 
+def test_stored_index_grows_and_tells_its_state(spark, tmp_path):
+    path, docs = f"file://{tmp_path}/index", corpus(spark)
+    for buckets in (16, 3):
+        index = search.store(docs, path, buckets)
+        assert index.buckets == buckets
+        a, b = ({r["id"]: round(r["score"], 9) for r in search.search(i, "durable agent").collect()} for i in (search.build(docs), index))
+        assert a == b and a
+        assert {r["id"] for r in search.search(index, '"durable agent"').collect()} == {r["id"] for r in search.search(search.build(docs), '"durable agent"').collect()}
+    first = docs.limit(1).withColumn("id", F.lit("later")).withColumn("search_text", F.lit("a zebra appears"))
+    state = search.status(index, docs.unionByName(first)).first()
+    assert (state["indexed_records"], state["missing"], state["current"]) == (4, 1, False)
+    assert search.search(index, "zebra").count() == 0
+    grown = search.add(first.unionByName(docs), path)
+    assert grown.documents == 5 and [r["id"] for r in search.search(grown, "zebra").collect()] == ["later"]
+    whole = search.build(docs.unionByName(first))
+    a, b = ({r["id"]: round(r["score"], 9) for r in search.search(i, "durable").collect()} for i in (whole, grown))
+    assert a == b
+    said = search.respond(grown, "zebra")
+    assert (said["total"], said["indexed_records"], len(said["hits"])) == (1, 5, 1) and said["took_ms"] >= 0 and said["index_updated_at"] is not None
+    assert search.respond(grown, "nothing")["total"] == 0
+
+
+def test_times_are_compared_as_times_and_stars_as_sent(spark):
+    index = search.build(corpus(spark))
+    assert search.search(index, "", RecordFilter(since="2024-1-2", until="2024-01-10")).count() == 0
+    with pytest.raises(HistoryError):
+        search.search(index, "", RecordFilter(since="2024-01-10", until="2024-1-2"))
+    assert search.parse("*foo foo**") == [search.Clause(("foo",)), search.Clause(("foo",), prefix=True)]
+
+
 def test_operations_pair_calls_with_results(spark):
     df = rows(
         spark,

@@ -106,7 +106,15 @@ def test_blobs_orphans_and_damage(spark, tmp_path):
     segment.write_bytes(segment.read_bytes().replace(b"hello 2", b"hellO 2"))
     found = {r["issue"].split(":")[0] for r in integrity.issues(spark, root).collect()}
     assert found == {"BLOB_CORRUPT", "SEGMENT_CORRUPT"}
+    # reads fail too: nothing damaged is passed over
+    with pytest.raises(Exception, match="SEGMENT_CORRUPT"):
+        st.records(st.segments(spark, root)).collect()
+    sound = st.records(st.segments(spark, root).where("issue IS NULL"))
+    with pytest.raises(Exception, match="BLOB_CORRUPT"):
+        query.timeline(sound, "conv_a", st.blobs(spark, root)).collect()
     (tmp_path / blob).unlink()
+    with pytest.raises(Exception, match="BLOB_MISSING"):
+        query.timeline(sound, "conv_a", st.blobs(spark, root)).collect()
     assert {r["issue"].split(":")[0] for r in integrity.issues(spark, root).collect()} == {"BLOB_MISSING", "SEGMENT_CORRUPT"}
 
 
@@ -120,8 +128,22 @@ def test_id_in_two_conversations_is_an_issue(spark, tmp_path):
 
 def test_segment_checks():
     raw = '{"schema_version": "chronofold.segment.v9"}'
-    assert integrity.segment_issue("k", raw) == "SCHEMA_UNSUPPORTED" and integrity.segment_issue("k", "{") == "SEGMENT_CORRUPT: JSONDecodeError"
-    assert integrity.segment_issue("k", "[]").startswith("SEGMENT_CORRUPT")
+    assert st.segment_issue("k", raw) == "SCHEMA_UNSUPPORTED" and st.segment_issue("k", "{") == "SEGMENT_CORRUPT: JSONDecodeError"
+    assert st.segment_issue("k", "[]").startswith("SEGMENT_CORRUPT")
+
+
+def test_unknown_fields_and_other_forms_are_damage(tmp_path):
+    s = st.LocalStore(str(tmp_path))
+    segment, key = st.append(s, [event(1)], "seg_1", NOW), st.segment_key("conv_a", "seg_1")
+    assert st.segment_issue(key, js.encode(segment)) is None
+    assert st.segment_issue(key, json.dumps(segment, indent=1)) == "SEGMENT_CORRUPT: not canonical"
+    more = segment | {"more": 1}
+    assert st.segment_issue(key, js.encode(more)) == "SEGMENT_CORRUPT: fields"
+    record = segment["entries"][0]["record"] | {"more": 1}
+    record["record_sha256"] = st.digest_without(record, "record_sha256")
+    more = segment | {"entries": [segment["entries"][0] | {"record": record}]}
+    more["segment_sha256"] = st.digest_without(more, "segment_sha256")
+    assert st.segment_issue(key, js.encode(more)) == "RECORD_CORRUPT: fields of rec_1"
 
 
 def test_json_lines(spark, tmp_path):
