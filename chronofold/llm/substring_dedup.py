@@ -13,9 +13,9 @@ tree of all texts does not fit anywhere, so suffixes are split by prefixes into
 - Variable length. A group of more than ``GROUP`` suffixes is split by the longest prefix there is, all
   ``WINDOW`` words (as two 64-bit hashes): each of its parts is one node of the tree at full depth, of
   which only the smallest doc_id is needed, an aggregate with partial sums and no group in memory.
-- Subtrees. Each other group is built in memory: leaves in order of their path, neighbours compared word
-  by word down to the depth of a window. A node that deep with leaves of several documents is a maximal
-  repeat; its leaves in other than the smallest document are marked.
+- Subtrees. Each other group's tree is built in memory as a suffix order with the depths at which neighbours
+  part (longest common prefixes). A run of leaves that part no higher than a window's depth is an internal node that
+  deep: a repeat, maximal to the right within its pieces. Its leaves in other than the smallest document are marked.
 
 Marks become word intervals, which meet their document in one join. The texts are exchanged by document
 once; the snippets and the result read the same exchange.
@@ -199,12 +199,49 @@ def _snippets(window: int, gram: int):
     return run
 
 
+#: Words that count as one letter where suffixes are put in order.
+LETTER = 8
+
+
+def suffix_order(text: np.ndarray, at: np.ndarray, groups: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at ``at``, by group and then letter by letter, and the depth of each with the one before.
+
+    A letter is ``LETTER`` words, the last one what is left of the window; letters are in the order of their hashes,
+    as any order makes a tree. The depth is the longest common prefix in words: down to the first letter that differs
+    by the letters, and inside that one word by word; suffixes of two groups have none.
+    """
+    starts = list(range(0, window, LETTER))
+    letters = []
+    for k in starts:
+        width = min(LETTER, window - k)
+        letters.append(rolling(text, width)[at + k])
+    order = np.lexsort((*letters[::-1], groups))
+    at, groups = at[order], groups[order]
+    same = groups[1:] == groups[:-1]
+    depth = np.zeros(len(at), np.int64)
+    for k, letter in zip(starts, letters):
+        letter = letter[order]
+        equal = same & (letter[1:] == letter[:-1])
+        # those that part in this letter have some of its words in common
+        part = np.flatnonzero(same & ~equal) + 1
+        left = part
+        for step in range(k, min(k + LETTER, window)):
+            left = left[text[at[left] + step] == text[at[left - 1] + step]]
+            if not len(left):
+                break
+            depth[left] += 1
+        depth[np.flatnonzero(equal) + 1] = min(k + LETTER, window)
+        same = equal
+    return order, depth
+
+
 def deep_nodes(groups: np.ndarray, pieces: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves (piece, place, node) of the groups' subtrees, cut at a window's depth, in nodes of 2 or more.
+    """Leaves (piece, place, node) of the internal nodes of the groups' suffix trees that are a window deep or deeper.
 
-    Leaves are put in order of their path: group, then the hash of the whole path, which orders the words
-    of each level somehow, as any order will do for a tree. Neighbours with equal paths are compared word
-    by word, so that a node never holds two different texts.
+    The tree is held as the order of its leaves and the depth at which neighbours part. A run of neighbours that part
+    at a window's depth or below is the topmost node that deep, with all nodes under it: the repeats of its leaves.
+    Equal letters were compared by hash; leaves of a run are compared word by word, so that a node never holds two
+    different texts.
     """
     text = np.concatenate(pieces).astype(np.uint64)
     begins = np.cumsum([0, *(len(p) for p in pieces[:-1])])
@@ -212,11 +249,10 @@ def deep_nodes(groups: np.ndarray, pieces: list[np.ndarray], window: int) -> tup
     piece = np.repeat(np.arange(len(pieces)), n)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     at = begins[piece] + place
-    path = rolling(text, window)[at]
-    order = np.lexsort((path, groups[piece]))
-    piece, place, at, path = piece[order], place[order], at[order], path[order]
+    order, depth = suffix_order(text, at, groups[piece], window)
+    piece, place, at = piece[order], place[order], at[order]
     meets = np.zeros(len(at), bool)
-    candidate = np.flatnonzero((path[1:] == path[:-1]) & (groups[piece][1:] == groups[piece][:-1])) + 1
+    candidate = np.flatnonzero(depth >= window)
     for i in range(0, len(candidate), 50_000):
         c = candidate[i : i + 50_000]
         steps = np.arange(window)
@@ -303,8 +339,8 @@ def marked_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     small = small.repartition("prefix").sortWithinPartitions("prefix")
     marks = small.mapInArrow(_marks(window), "doc_id long, uid long, first long, n long")
     node = F.xxhash64("prefix", "second").alias("node")
-    long = cut.where("long").select(node, "prefix", "second", "doc_id", "uid", F.col("first").cast("long").alias("first"))
-    low = cut.where("long").groupBy("prefix", "second").agg(F.min("doc_id").alias("low"))
+    long = stored(cut.where("long").select(node, "prefix", "second", "doc_id", "uid", F.col("first").cast("long").alias("first")), "long")
+    low = long.groupBy("prefix", "second").agg(F.min("doc_id").alias("low"))
     # joined by a hash of the path alone, so that both sides are exchanged and a large node can be split
     low = low.select(F.xxhash64("prefix", "second").alias("to"), F.col("prefix").alias("p"), F.col("second").alias("s"), "low")
     same = (F.col("prefix").bitwiseXOR(F.col("p")) == 0) & (F.col("second").bitwiseXOR(F.col("s")) == 0)

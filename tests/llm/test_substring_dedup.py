@@ -68,3 +68,22 @@ def test_sliding_min_and_rolling():
 
 def test_empty(spark):
     assert sd.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_suffix_order_and_depths():
+    rng = np.random.default_rng(3)
+    for window in (1, 3, 8, 13, 50):
+        text = rng.integers(0, 3, 400).astype(np.uint64)
+        text[200:300] = text[50:150]
+        at = np.arange(len(text) - window + 1)
+        groups = rng.integers(0, 2, len(at))
+        order, depth = sd.suffix_order(text, at, groups, window)
+        assert sorted(order.tolist()) == at.tolist() and (np.diff(groups[order]) >= 0).all()
+        paths = [tuple(text[i : i + window].tolist()) for i in order]
+        for k in range(1, len(order)):
+            common = next((d for d in range(window) if paths[k][d] != paths[k - 1][d]), window) if groups[order[k]] == groups[order[k - 1]] else 0
+            assert depth[k] == common
+        # leaves that share their first letters stand together, so that each node is one run
+        for d in range(sd.LETTER, window + 1, sd.LETTER):
+            heads = [(groups[i], p[:d]) for i, p in zip(order, paths)]
+            assert len({*heads}) == 1 + sum(a != b for a, b in zip(heads, heads[1:]))
