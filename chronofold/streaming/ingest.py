@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from chronofold.operators import query
+from chronofold.operators import normalize, query
 from chronofold.schema import ROW
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -52,21 +52,46 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, before_send: Hook | Non
     ``before_send`` changes or drops records first.
     """
     kept = before_send(stream) if before_send else stream
+    return _started(kept.writeStream.foreachBatch(lambda batch, n: _commit(batch, n, out)), checkpoint, every)
+
+
+def ingest_exports(stream: DataFrame, out: str, checkpoint: str, before_send: Hook | None = None, every: str | None = None) -> StreamingQuery:
+    """Append the spans of a stream of export requests as records; those that are none go to ``out``/rejects with the reason.
+
+    One bad span does not hold up the others of its request.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, new = batch.sparkSession, once(batch)
-        if any(n < batch_id for n in _numbers(spark, f"{out}/ids", "batch")):
-            seen = spark.read.schema("id string, batch int").parquet(f"{out}/ids").where(F.col("batch") < batch_id)
-            new = new.join(seen.select("id"), "id", "left_anti")
-        new.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/records/batch={batch_id}")
-        written = spark.read.schema(batch.schema).parquet(f"{out}/records/batch={batch_id}")
-        query.deltas(written, F.lit(f"batch_{batch_id}")).write.mode("overwrite").parquet(f"{out}/deltas/batch={batch_id}")
-        written.select("id").write.mode("overwrite").parquet(f"{out}/ids/batch={batch_id}")
-
-    writer = kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        rows = normalize.spans(batch)
+        normalize.rejected(rows).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        found = normalize.records_from_spans(rows)
+        _commit(before_send(found) if before_send else found, batch_id, out)
+
+    return _started(stream.writeStream.foreachBatch(write), checkpoint, every)
+
+
+def read_exports(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
+    """Export requests that arrive as JSON files in a folder."""
+    return spark.readStream.schema(normalize.EXPORT).option("multiLine", True).option("maxFilesPerTrigger", files).json(path)
+
+
+def _started(writer, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _commit(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Write what is new in a batch, its ids and its deltas."""
+    spark, new = batch.sparkSession, once(batch)
+    if any(n < batch_id for n in _numbers(spark, f"{out}/ids", "batch")):
+        seen = spark.read.schema("id string, batch int").parquet(f"{out}/ids").where(F.col("batch") < batch_id)
+        new = new.join(seen.select("id"), "id", "left_anti")
+    new.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/records/batch={batch_id}")
+    written = spark.read.schema(batch.schema).parquet(f"{out}/records/batch={batch_id}")
+    query.deltas(written, F.lit(f"batch_{batch_id}")).write.mode("overwrite").parquet(f"{out}/deltas/batch={batch_id}")
+    written.select("id").write.mode("overwrite").parquet(f"{out}/ids/batch={batch_id}")
+
+
 def records(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/records").drop("batch")
 

@@ -32,17 +32,50 @@ def test_spans_become_records(spark, tmp_path):
         span("bad", "01"),
     )
     spans = normalize.read_exports(spark, path)
-    assert spans.where("NOT valid").count() == 1
+    assert [r["reason"].split(":")[0] for r in normalize.rejected(spans).collect()] == ["INVALID_RECORD"]
     got = {r["span_id"]: r for r in normalize.records_from_spans(spans).collect()}
     model, tool = got[f"span_{MODEL}"], got[f"span_{TOOL}"]
     assert (model["id"], model["conversation_id"], model["kind"], model["agent"], model["status"], model["parent_id"]) == (f"otel_{TRACE}_{MODEL}", "conv_research", "model.generation", "svc", "ok", None)
     assert (tool["kind"], tool["tool"], tool["status"], tool["parent_id"], tool["trace_id"]) == ("tool.execution", "browser.search", "error", f"span_{MODEL}", f"trace_{TRACE}")
     content = json.loads(model["content"])
-    assert content["model"] == "m-1" and content["usage"] == {"gen_ai.usage.input_tokens": "21"} and content["duration_ms"] == 1500 and content["kind"] == "CLIENT" and content["input"].startswith("[")
+    assert content["model"] == "m-1" and content["usage"] == {"gen_ai.usage.input_tokens": 21} and content["duration_ms"] == 1500 and content["span_kind"] == "CLIENT" and content["input"] == [{"role": "user"}]
     assert model["tags"] == {"chronofold.source": "otlp", "service.name": "svc", "gen_ai.operation.name": "chat", "gen_ai.request.model": "m-1", "otel.scope.name": "lib"}
     assert model["occurred_at"].isoformat() == "2026-01-01T00:00:00"
 
 
+def test_values_keep_their_types_and_nothing_is_lost(spark, tmp_path):
+    wire = [
+        {"key": "list", "value": {"arrayValue": {"values": [{"intValue": "1"}, {"stringValue": "a"}, {"arrayValue": {"values": [{"boolValue": True}]}}]}}},
+        {"key": "map", "value": {"kvlistValue": {"values": [{"key": "x", "value": {"doubleValue": 1.5}}, {"key": "y", "value": {"kvlistValue": {"values": []}}}]}}},
+        {"key": "n", "value": {"intValue": 7}}, {"key": "f", "value": {"doubleValue": 1.0}}, {"key": "b", "value": {"bytesValue": "AQI="}}, {"key": "", "value": {"intValue": 1}}, {"key": "n", "value": {"intValue": "8"}},
+        {"key": "gen_ai.request.model", "value": {"doubleValue": 2500000.0}}, {"key": "output.value", "value": {"stringValue": "not json {"}}, {"key": "input.value", "value": {"stringValue": '{"q": [1, 2.5]}'}},
+    ]
+    one = span("s") | {"attributes": wire, "traceState": "k=v", "flags": 257, "droppedAttributesCount": 2, "droppedEventsCount": 3, "startTimeUnixNano": "1767225600000000001"}
+    one |= {"events": [{"name": "e", "timeUnixNano": "1767225600123456789", "attributes": [attribute("i", 4)], "droppedAttributesCount": 1}], "links": [{"traceId": "AB" * 16, "spanId": "CD" * 8, "traceState": "t", "flags": 1, "attributes": [attribute("l", True)]}]}
+    body = {"resourceSpans": [{"resource": {"attributes": [attribute("r", 2)], "droppedAttributesCount": 5}, "scopeSpans": [{"schemaUrl": "su", "scope": {"name": "lib", "attributes": [attribute("sc", 1.25)]}, "spans": [one]}]}]}
+    (tmp_path / "e.json").write_text(json.dumps(body))
+    row = normalize.records_from_spans(normalize.read_exports(spark, str(tmp_path / "e.json"))).first()
+    c = json.loads(row["content"])
+    assert c["attributes"] == {"list": [1, "a", [True]], "map": {"x": 1.5, "y": {}}, "n": 8, "f": 1, "b": "AQI=", "gen_ai.request.model": 2500000, "output.value": "not json {", "input.value": '{"q": [1, 2.5]}'}
+    assert c["input"] == {"q": [1, 2.5]} and c["output"] == "not json {" and c["model"] == "2.5e+06" and row["tags"]["gen_ai.request.model"] == "2.5e+06"
+    assert (c["trace_state"], c["flags"], c["dropped_attributes"], c["dropped_events"], c["start_time"]) == ("k=v", 257, 2, 3, "2026-01-01T00:00:00.000000001Z")
+    assert c["events"] == [{"name": "e", "time": "2026-01-01T00:00:00.123456789Z", "attributes": {"i": 4}, "dropped_attributes": 1}]
+    assert c["links"] == [{"trace_id": "ab" * 16, "span_id": "cd" * 8, "trace_state": "t", "flags": 1, "attributes": {"l": True}}]
+    assert c["scope"] == {"name": "lib", "schema_url": "su", "attributes": {"sc": 1.25}} and c["resource"] == {"attributes": {"r": 2}, "dropped_attributes": 5}
+    assert [normalize.scalar_text(v) for v in (1.0, 0.1, 123456.0, 1234567.0, 1e-5, -2.5, True, 3, [1], None, 0.0)] == ["1", "0.1", "123456", "1.234567e+06", "1e-05", "-2.5", "true", "3", "", "", "0"]
+
+
+def test_a_stream_of_exports_keeps_its_good_spans(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good, bad = span("chat", session__id="c1"), span("bad", "01")
+    for name, spans_ in (("a.json", [good, bad]), ("b.json", [good, span("tool", TOOL, parent="zz", session__id="c1"), span("tool", "03" * 8, session__id="c1")])):
+        (tmp_path / "in" / name).write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans_}]}]}))
+    out = f"file://{tmp_path}/out"
+    ingest.ingest_exports(ingest.read_exports(spark, f"file://{tmp_path}/in", 1), out, f"file://{tmp_path}/state").awaitTermination()
+    assert {r["conversation_id"]: r["record_count"] for r in ingest.conversations(spark, out).collect()} == {"c1": 2}
+    assert sorted(r["reason"].split("'")[1] for r in spark.read.parquet(f"{out}/rejects").collect()) == ["bad", "tool"]
+
+
 def test_conversation_ids(spark, tmp_path):
     path = export(tmp_path, span("a", session__id="bad id"), span("b", TOOL))
     got = {r["span_id"]: r["conversation_id"] for r in normalize.records_from_spans(normalize.read_exports(spark, path)).collect()}
