@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 import hashlib
 import json
 import math
@@ -144,3 +145,14 @@ def number_at(v: Column, path: str) -> Column:
 
 def first_number(v: Column, *paths: str) -> Column:
     return F.coalesce(*(number_at(v, p) for p in paths), F.lit(0.0))
+
+
+def coerced(value):
+    """A value of any kind as JSON: mappings by the text of their keys, other collections as lists, the rest by its text."""
+    if value is None or isinstance(value, bool | int | float | str):
+        return value
+    if isinstance(value, Mapping):
+        return {str(k): coerced(v) for k, v in value.items()}
+    if isinstance(value, Iterable) and not isinstance(value, bytes | bytearray):
+        return [coerced(v) for v in value]
+    return str(value)

@@ -7,7 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chronofold.functions import jsontext as js
 from chronofold.schema import HistoryError, checked_limit, order_key, time_order
 from chronofold.sources import store
 
@@ -139,10 +141,14 @@ def busiest(rolled: DataFrame) -> DataFrame:
     return rolled.orderBy(F.desc("record_count"), F.desc("last_seen"), "conversation_id").limit(1)
 
 
-def observed_values(records: DataFrame, fields: tuple[str, ...] = ("kind", "agent", "tool", "status", "trace_id")) -> DataFrame:
-    """(field, value): distinct non-empty values, in order."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("p")
-    return records.select(pairs).select("p.field", "p.value").where("value <> ''").distinct().orderBy("field", "value")
+def observed_values(records: DataFrame, fields: tuple[str, ...] = ("kind", "agent", "tool", "model", "status", "trace_id"), tags: bool = True) -> DataFrame:
+    """(field, value): distinct non-empty values of fields, and of tags as tag.<name>, in order."""
+    value = {f: js.string_at(js.parsed(F.col("content")), "$.model") if f == "model" else F.col(f) for f in fields}
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), value[f].alias("value")) for f in fields))
+    if tags:
+        own = F.transform(F.map_entries("tags"), lambda e: F.struct(F.concat(F.lit("tag."), e["key"]).alias("field"), e["value"].alias("value")))
+        pairs = F.concat(pairs, F.coalesce(own, F.array().cast(T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())])))))
+    return records.select(F.explode(pairs).alias("p")).select("p.field", "p.value").where("value <> ''").distinct().orderBy("field", "value")
 
 
 def session_status(rolled: DataFrame) -> DataFrame:

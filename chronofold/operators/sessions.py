@@ -30,6 +30,12 @@ def reasoning(kind: Column, content: Column) -> Column:
     return F.lower(kind).contains("reasoning") | F.lower(kind).contains("thinking") | F.coalesce(of_content.isin("reasoning", "thinking"), F.lit(False))
 
 
+def reasoning_text(content: Column) -> Column:
+    """What a reasoning step says, null if nothing."""
+    v = js.parsed(content)
+    return F.coalesce(*(js.string_at(v, f"$.{k}") for k in ("text", "reasoning", "thinking", "summary")))
+
+
 def message(kind: Column) -> Column:
     return kind.isin("message.user", "message.assistant")
 

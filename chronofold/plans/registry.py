@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from chronofold.operators import dsl, integrity, normalize, operations, query, s
 from chronofold.operators.query import RecordFilter
 from chronofold.schema import ID_PATTERN, MAX_SEGMENT_RECORDS
 from chronofold.sources import adapters
+from chronofold.sources.shared import shared_dir
+from chronofold.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,6 +109,18 @@ def _(spark, sf):
     return query.session_list(query.conversations(_events(spark, sf)), "agent", "7").select("conversation_id", "record_count")
 
 
+@register("stream_rollup", f"SELECT conversation_id, {_ROLLUP} FROM er GROUP BY 1", ("er",))
+def _(spark, sf):
+    """Each record comes twice, in micro-batches, and counts once; half way through the deltas are compacted."""
+    out = f"{shared_dir(spark)}/chronofold-stream/{uuid.uuid4().hex}"
+    rows = _events(spark, sf).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3)))
+    rows.unionByName(rows.withColumn("part", (F.col("part") + 1) % 3)).repartition(3, "part").drop("part").write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    ingest.ingest(stream, f"{out}/out", f"{out}/state").awaitTermination()
+    ingest.compact(spark, f"{out}/out")
+    return _plain(ingest.conversations(spark, f"{out}/out"))
+
+
 # filters, timelines, look-ups
 
 _RECORD = "id, conversation_id, kind, occurred_at, trace_id, agent, tool, status"
@@ -169,14 +184,14 @@ def _(spark, sf):
     return query.positions(_events(spark, sf)).select("id", "position")
 
 
-@register("observed_values", "SELECT DISTINCT field, value FROM (SELECT 'kind' AS field, kind AS value FROM er UNION ALL SELECT 'agent', agent FROM er UNION ALL SELECT 'tool', tool FROM er UNION ALL SELECT 'status', status FROM er UNION ALL SELECT 'trace_id', trace_id FROM er) WHERE value <> ''", ("er",))
+@register("observed_values", "SELECT DISTINCT field, value FROM (SELECT 'kind' AS field, kind AS value FROM er UNION ALL SELECT 'agent', agent FROM er UNION ALL SELECT 'tool', tool FROM er UNION ALL SELECT 'status', status FROM er UNION ALL SELECT 'trace_id', trace_id FROM er UNION ALL SELECT 'tag.k', k::VARCHAR FROM er) WHERE value <> ''", ("er",))
 def _(spark, sf):
     return query.observed_values(_events(spark, sf))
 
 
 @register("suggestions", "SELECT DISTINCT trace_id AS value FROM er WHERE contains(trace_id, '_1') ORDER BY 1 LIMIT 7", ("er",))
 def _(spark, sf):
-    return query.suggestions(query.observed_values(_events(spark, sf), ("trace_id",)), "value", "_1").select("value")
+    return query.suggestions(query.observed_values(_events(spark, sf), ("trace_id",), tags=False), "value", "_1").select("value")
 
 
 @register("offset_since_start", "SELECT id, ms - min(ms) OVER (PARTITION BY conversation_id) AS offset_ms FROM er", ("er",))
@@ -353,7 +368,15 @@ def _(spark, sf):
 
 
 def _index(spark: SparkSession, sf: str) -> search.Index:
-    return search.build(adapters.documents_for_search(spark, sf))
+    """The index of the documents, written once for a session and a set of tables and looked up from then on."""
+    path = f"{shared_dir(spark)}/chronofold-index/{spark.sparkContext.applicationId}/{jsontext.sha256(sf)[:16]}"
+    if path not in _stored:
+        search.store(adapters.documents_for_search(spark, sf), path)
+        _stored.add(path)
+    return search.load(spark, path)
+
+
+_stored: set[str] = set()
 
 
 @register("search_and_terms", _found("term IN ('licensed', 'license')", "sum(score)", "HAVING count(*) = 2"), ("sd",))
@@ -415,6 +438,45 @@ def _(spark, sf):
     return e.select("event_id", normalize.kind_of(name, F.create_map(pick(keys), pick(values))).alias("kind"))
 
 
+def _exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as export requests of a span each, as JSON comes in."""
+    e = adapters.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    hexed = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
+    value = lambda kind, c: F.to_json(F.struct(c.cast("string").alias(kind)))
+    attribute = lambda key, v: F.struct(F.lit(key).alias("key"), v.alias("value"))
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    attributes = F.array(
+        attribute("session.id", value("stringValue", F.concat(F.lit("user_"), F.col("user_id").cast("string")))), attribute("gen_ai.operation.name", value("stringValue", F.when(F.col("k") % 2 == 0, "chat").otherwise("execute_tool"))),
+        attribute("gen_ai.tool.name", value("stringValue", F.when(F.col("k") % 2 == 1, F.col("event_type")).otherwise(""))), attribute("gen_ai.usage.input_tokens", value("intValue", F.col("k"))), attribute("input.value", value("stringValue", F.col("props"))),
+    )
+    span = F.struct(
+        hexed(F.col("user_id") + 1, 32).alias("traceId"), hexed(F.col("event_id") + 1, 16).alias("spanId"), F.when(F.col("event_id") % 50 == 0, "bad").otherwise("").alias("parentSpanId"), F.col("event_type").alias("name"), F.lit("SPAN_KIND_CLIENT").alias("kind"),
+        nanos.cast("string").alias("startTimeUnixNano"), (nanos + F.col("k") * 1_500_000).cast("string").alias("endTimeUnixNano"), attributes.alias("attributes"), F.struct(F.when(F.col("event_type") == "error", "STATUS_CODE_ERROR").alias("code")).alias("status"),
+    )
+    request = F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
+    return e.select(F.from_json(F.to_json(request), normalize.EXPORT).alias("r")).select("r.*")
+
+
+@register("span_records", """SELECT format('otel_{:032x}_{:016x}', user_id + 1, event_id + 1) AS id, 'user_' || user_id AS conversation_id, CASE WHEN k % 2 = 0 THEN 'model.generation' ELSE 'tool.execution' END AS kind,
+  CASE WHEN k % 2 = 1 THEN event_type END AS tool, CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS status, k AS input_tokens, k AS input_k, k * 1.5::DOUBLE AS duration_ms, CASE WHEN k % 2 = 0 THEN 'chat' ELSE 'execute_tool' END AS operation
+  FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events) WHERE event_id % 50 <> 0""")
+def _(spark, sf):
+    rows = normalize.records_from_spans(normalize.spans(_exports(spark, sf)))
+    at = lambda path, kind: F.get_json_object("content", path).cast(kind)
+    return rows.select("id", "conversation_id", "kind", "tool", "status", at("$.usage['gen_ai.usage.input_tokens']", "long").alias("input_tokens"), at("$.input.k", "long").alias("input_k"), F.coalesce(at("$.duration_ms", "double"), F.lit(0.0)).alias("duration_ms"), F.col("tags")["gen_ai.operation.name"].alias("operation"))
+
+
+@register("span_rejects", "SELECT format('{:016x}', event_id + 1) AS span_id, 'INVALID_RECORD: the parent of span ' || chr(39) || event_type || chr(39) || ' has not 8 bytes' AS reason FROM events WHERE event_id % 50 = 0")
+def _(spark, sf):
+    return normalize.rejected(normalize.spans(_exports(spark, sf))).select("span_id", "reason")
+
+
+@register("trace_envelopes", "SELECT DISTINCT 'openai_trace_t' || user_id AS id, 'conv_openai_' || sha256('group ' || user_id) AS conversation_id, 'agent.trace' AS kind, 'flow' AS workflow FROM events WHERE user_id % 2 = 0")
+def _(spark, sf):
+    rows = normalize.records_from_sdk_traces(_sdk_traces(spark, sf))
+    return rows.select("id", "conversation_id", "kind", F.col("tags")["workflow"].alias("workflow"))
+
+
 @register("id_sanitizer", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'order_' || o_orderkey ELSE 'conv_' || sha256(o_orderpriority || ' ' || o_orderkey) END AS conversation_id FROM orders")
 def _(spark, sf):
     o = adapters.table(spark, sf, "orders")
@@ -446,7 +508,7 @@ def _sdk_traces(spark: SparkSession, sf: str) -> DataFrame:
     return users.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("id"), F.concat(F.lit("group "), F.col("user_id").cast("string")).alias("group_id"), F.lit("flow").alias("workflow_name"))
 
 
-@register("sdk_span_records", "SELECT 'openai_span_s' || event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'conv_openai_' || sha256('group ' || user_id) ELSE 't' || user_id END AS conversation_id, 'tool.execution' AS kind, event_type AS tool, CASE WHEN user_id % 2 = 0 THEN 'flow' ELSE 'Agent workflow' END AS workflow FROM events")
+@register("sdk_span_records", "SELECT 'openai_span_s' || event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'conv_openai_' || sha256('group ' || user_id) ELSE 't' || user_id END AS conversation_id, 'tool.execution' AS kind, event_type AS tool, CASE WHEN user_id % 2 = 0 THEN 'flow' ELSE 'OpenAI Agent workflow' END AS workflow FROM events")
 def _(spark, sf):
     rows = normalize.records_from_sdk_spans(_sdk_spans(spark, sf), _sdk_traces(spark, sf))
     return rows.select("id", "conversation_id", "kind", "tool", F.col("tags")["workflow"].alias("workflow"))

@@ -11,7 +11,7 @@ import os
 import re
 import secrets
 import tempfile
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -186,6 +186,26 @@ def append(store: LocalStore, events: list[Event], segment_id: str | None = None
         return first
 
 
+def read_batch(text: str) -> tuple[str | None, list[Event]]:
+    """Segment id and events of a batch file: one JSON object, no unknown fields, a content (null, too) in each record."""
+    if len(text.encode()) > MAX_SEGMENT_BYTES + 1024 * 1024:
+        raise HistoryError("SEGMENT_TOO_LARGE", "batch file")
+    try:
+        value = json.loads(text)
+    except ValueError as e:
+        raise HistoryError("INVALID_JSON", str(e)) from None
+    known = {f.name for f in fields(Event)}
+    if not isinstance(value, dict) or not set(value) <= {"id", "records"} or not isinstance(value.get("records"), list):
+        raise HistoryError("INVALID_JSON", "a batch file is one object with id and records")
+    events = []
+    for n, record in enumerate(value["records"]):
+        if not isinstance(record, dict) or not set(record) <= known or not {"content", "conversation_id", "kind"} <= set(record):
+            raise HistoryError("INVALID_JSON", f"records[{n}] has unknown fields, or lacks content, conversation_id or kind")
+        at = record.get("occurred_at")
+        events.append(Event(**record | ({"occurred_at": datetime.fromisoformat(at)} if at else {})))
+    return value.get("id"), events
+
+
 def append_one(store: LocalStore, event: Event, **options) -> dict:
     """A segment of one record, named by the record's id."""
     event = replace(event, id=event.id or new_id("rec_"))
@@ -198,8 +218,8 @@ def same_batch(first: dict, again: dict, events: list[Event]) -> bool:
         return False
     for a, b, event in zip(first["entries"], again["entries"], events):
         x, y = a["record"], b["record"]
-        fields = ["kind", "sequence", "trace_id", "span_id", "parent_id", "agent", "tool", "status", "tags"] + ["id"] * (event.id is not None) + ["occurred_at"] * (event.occurred_at is not None)
-        if any(x.get(f) != y.get(f) for f in fields) or any(x["content"][f] != y["content"][f] for f in ("sha256", "size", "storage")):
+        compared = ["kind", "sequence", "trace_id", "span_id", "parent_id", "agent", "tool", "status", "tags"] + ["id"] * (event.id is not None) + ["occurred_at"] * (event.occurred_at is not None)
+        if any(x.get(f) != y.get(f) for f in compared) or any(x["content"][f] != y["content"][f] for f in ("sha256", "size", "storage")):
             return False
     return True
 

@@ -299,3 +299,10 @@ def test_prompt_titles(spark):
     assert one("Fix it. Then look for the other things that are broken here") == "Fix it. Then look for the other things that are broken here"
     assert one("Look for   the things\nthat are broken here! Then fix them") == "Look for the things that are broken here!"
     assert one("x" * 300) == "x" * 104 + "…" and one("x" * 104) == "x" * 104
+
+
+def test_observed_values_of_models_and_tags_and_reasoning(spark):
+    df = rows(spark, {"kind": "model.request", "content": '{"model": "m1"}', "tags": {"env": "x"}}, {"kind": "model.reasoning", "content": '{"thinking": "so"}'}, {"kind": "x", "content": "[]"})
+    got = {(r["field"], r["value"]) for r in query.observed_values(df).collect()}
+    assert ("model", "m1") in got and ("tag.env", "x") in got
+    assert [r[0] for r in df.orderBy("id").select(sessions.reasoning_text(F.col("content"))).collect()] == [None, "so", None]

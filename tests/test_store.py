@@ -152,3 +152,14 @@ def test_json_lines(spark, tmp_path):
     assert sorted(r["a"] for r in df.collect()) == [1, 2]
     st.write_json(df, f"file://{tmp_path}/out")
     assert st.read_jsonl(spark, f"file://{tmp_path}/out", "a int").count() == 2
+
+
+def test_batch_files_are_strict():
+    name, events = st.read_batch('{"id": "seg_1", "records": [{"conversation_id": "c", "kind": "k", "content": null, "occurred_at": "2026-01-01T00:00:00Z", "tags": {"a": "b"}}]}')
+    assert name == "seg_1" and events[0].content is None and events[0].occurred_at == datetime(2026, 1, 1, tzinfo=UTC)
+    for bad in ("{", "[]", '{"records": []} {}', '{"records": [], "more": 1}', '{"records": [{"conversation_id": "c", "kind": "k"}]}', '{"records": [{"conversation_id": "c", "kind": "k", "content": 1, "x": 2}]}'):
+        assert code(st.read_batch, bad) == "INVALID_JSON"
+
+
+def test_any_value_becomes_json():
+    assert js.coerced({1: (1, {"a"}), "b": None, "t": NOW, "n": {"x": iter([2.5])}, "y": b"z"}) == {"1": [1, ["a"]], "b": None, "t": str(NOW), "n": {"x": [2.5]}, "y": "b'z'"}
