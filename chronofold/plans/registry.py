@@ -292,10 +292,10 @@ _dsl("dsl_text_tag", 'tag.k:4 trace_1', "contains(k::VARCHAR, '4') AND contains(
 # set operations and integrity
 
 
-@register("orphan_anti_join", "SELECT 'blob_' || p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 3 = 1)")
+@register("orphan_anti_join", "SELECT 'blob_' || p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R')")
 def _(spark, sf):
     lines, parts = adapters.table(spark, sf, "lineitem"), adapters.table(spark, sf, "part")
-    rows = lines.select(F.when(F.col("l_linenumber") % 3 == 1, "blob").otherwise("segment").alias("storage"), F.concat(F.lit("blob_"), F.col("l_partkey").cast("string")).alias("content_key"))
+    rows = lines.select(F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), "blob").otherwise("segment").alias("storage"), F.concat(F.lit("blob_"), F.col("l_partkey").cast("string")).alias("content_key"))
     return integrity.orphans(rows, parts.select(F.concat(F.lit("blob_"), F.col("p_partkey").cast("string")).alias("key")))
 
 
