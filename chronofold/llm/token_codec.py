@@ -44,9 +44,9 @@ LIMIT = 16
 #: Ids of a block, and ids after which a frame ends.
 BLOCK, FRAME = 256, 1 << 18
 #: Distinct words that a worker holds before it forgets those met least.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 #: Bytes of the texts that are encoded at once.
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 
 
 # the code
@@ -258,7 +258,10 @@ class WordEncoder:
         """The ids of words by their numbers, and where each word's end."""
         sizes = self.sizes[index]
         ends = np.cumsum(sizes, dtype=np.int64)
-        return self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+        # places among the ids of a chunk's words fit 32 bits
+        at = np.repeat((self.starts[index] - ends + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], ends
 
     def _learn(self) -> None:
         """Ids of the words that are new. Letters with marks after them take the ids of either, which are words too."""
@@ -294,7 +297,7 @@ class WordEncoder:
         # what stands between ASCII white space, with empty words at the texts' edges, which have no ids
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        own = np.fromiter(map(self.words.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        own = np.fromiter(map(self.words.__getitem__, words.dictionary.to_pylist()), np.int32, len(words.dictionary))
         self._learn()
         index = own[words.indices.to_numpy()]
         self.used[: len(self.words)] += np.bincount(index, minlength=len(self.words))
