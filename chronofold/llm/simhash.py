@@ -325,13 +325,19 @@ def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed64([f >> 64 for f in found]), _signed64([f & (1 << 64) - 1 for f in found])], names=["uid", "doc_id", "high", "low"])
 
 
-def _sets(words: int):
+def _sets(words: int, repeated):
+    """Texts -> digest, fingerprint, shingles, and whether another row may have the digest too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_for()
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                found = [signature(t.as_py(), words) for t in batch.column(0).slice(i, 1000)]
-                yield pa.RecordBatch.from_arrays([_signed64([f[0] >> 64 for f in found]), _signed64([f[0] & (1 << 64) - 1 for f in found]), pa.array([packed(f[1]) for f in found], pa.binary())], names=["high", "low", "shingles"])
+                texts = [t.as_py() for t in batch.column(0).slice(i, 1000)]
+                found = [signature(t, words) for t in texts]
+                high, low = (_signed64(x) for x in ([f[0] >> 64 for f in found], [f[0] & (1 << 64) - 1 for f in found]))
+                again = _marked(repeated.value, low.to_numpy() & ((1 << BITMAP) - 1))
+                fps = _signed64([fingerprint(t) for t in texts])
+                yield pa.RecordBatch.from_arrays([high, low, fps, pa.array([packed(f[1]) for f in found], pa.binary()), pa.array(again)], names=["high", "low", "fp", "shingles", "again"])
 
     return run
 
@@ -520,11 +526,23 @@ def _rest(similarity: float):
     return run
 
 
+def _marks(low: DataFrame) -> np.ndarray:
+    """The values of the only column, 0 to 2^BITMAP - 1, as a bitmap."""
+    low = low.toDF("low").select((F.col("low") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(low & 63 AS int))").alias("bit"))
+    bits = np.zeros((1 << BITMAP) // 64, np.int64)
+    for r in low.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["at"]] = r["bits"]
+    return bits
+
+
+def _marked(bits: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (bits[low >> 6] >> (low & 63) & 1).astype(bool)
+
+
 def _in_pairs(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array((bits.value[low >> 6] >> (low & 63) & 1).astype(bool)))
+            yield batch.select([0, 1]).filter(pa.array(_marked(bits.value, batch.column(2).to_numpy())))
 
     return run
 
@@ -542,11 +560,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts (whole, shingles) that share enough of their whole sets of shingles."""
     spark = texts.sparkSession
     low = lambda c: F.xxhash64(c).bitwiseAND((1 << BITMAP) - 1)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(low("id").alias("id"))
-    ids = ids.select((F.col("id") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bit"))
-    bits = np.zeros((1 << BITMAP) // 64, np.int64)
-    for r in ids.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r["at"]] = r["bits"]
+    bits = _marks(pairs.select(F.explode(F.array("a", "b")).alias("id")).select(low("id")))
     # a fixed bitmap keeps most texts that are in no pair out of the joins; the joins drop the rest
     met = texts.select("whole", "shingles", low("whole").alias("low")).mapInArrow(_in_pairs(spark.sparkContext.broadcast(bits)), "whole long, shingles binary")
     both = pairs.join(met.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
@@ -554,9 +568,31 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return stored(both.mapInArrow(_verified(similarity), "a long, b long"), "similar")
 
 
+def fingerprint_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of texts (whole, fp, shingles): found within 4 bits by the Golay keys, then held against the shingles.
+
+    Of equal fingerprints each text is tried with the first one; of others the spanning forests of links().
+    """
+    distinct = stored(texts.groupBy("fp").agg(F.min("whole").alias("rep")), "distinct")
+    same = texts.select("fp", "whole").join(distinct, "fp").where("whole <> rep").select(F.col("rep").alias("a"), F.col("whole").alias("b"))
+    return similar(stored(links(distinct).unionByName(same), "near"), texts, similarity)
+
+
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in no class (node, component) together."""
+    for c in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}")), c, "left")
+    return pairs.where("NOT coalesce(class_a = class_b, false)").select("a", "b")
+
+
+def _edges(classes: DataFrame) -> DataFrame:
+    return classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of all texts (whole, shingles) that are similar to another, directly or through others."""
+    """(node, component) of all texts (whole, fp, shingles) that are similar to another, directly or through others."""
     spark = texts.sparkSession
+    near = stored(components(fingerprint_links(texts, similarity)), "near_classes")
     common = spark.sparkContext.broadcast(common_shingles(texts))
     keyed = texts.select("whole", "shingles").mapInArrow(_prefixes(common, similarity), "h long, n int, place int, rep long")
     rows = keyed.repartition("h").sortWithinPartitions("h", "n", "rep")
@@ -571,8 +607,9 @@ def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
     part = F.xxhash64("h", F.pmod(F.xxhash64("h", "rep"), F.ceil(F.col("size") / GROWN))).alias("bucket")
     rows = with_parity(large.select(part, "n", "rep")).repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
     pairs = pairs.unionByName(rows.select("bucket", "n", "rep", "parity").mapInArrow(_grown(similarity), "a long, b long")).distinct()
-    links = similar(stored(pairs, "pairs"), texts, similarity)
-    found = stored(components(links), "classes")
+    # what the fingerprints have put into one class is not compared again
+    pairs = stored(apart(pairs, near), "pairs")
+    found = stored(components(_edges(near).unionByName(similar(pairs, texts, similarity))), "classes")
     # then all pairs of a bucket that the links have not put into one class, tile by tile
     known = large.join(found, large["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     known = stored(known, "known")
@@ -584,16 +621,18 @@ def similar_texts(texts: DataFrame, similarity: float) -> DataFrame:
     rows = with_parity(rows.select(bucket, "own", "n", "place", "rep", "component")).repartition("bucket").sortWithinPartitions("bucket", "n", "rep")
     rows = rows.select("bucket", "own", "n", "place", "rep", "component", "parity")
     more = stored(rows.mapInArrow(_rest(similarity), "a long, b long").distinct(), "more")
-    return components(links.unionByName(similar(more, texts, similarity)))
+    return components(_edges(found).unionByName(similar(more, texts, similarity)))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of documents that stay when one of each class of similar texts does: the smallest doc_id.
 
     Similar texts share ``similarity`` of their distinct shingles of ``words`` words; classes are the connected
-    components. Candidates come from a prefix filter: in any one order of all shingles, two sets of n and m with
-    that much in common share one of the first n - ceil(similarity * n) + 1 of either, or else too few are left. The
-    order puts the shingles last that are common in a sample of the texts, so that a repeated line does not bring
+    components. SimHash comes first: fingerprints within 4 bits meet by their Golay keys, as in near_duplicates(), and
+    link if their texts' whole sets have that similarity (many repeats of one line bring fingerprints of other texts
+    together). At 0.8 fingerprints differ in about 10 bits, so a prefix filter then finds the similar pairs that are
+    in no class yet: in any one order of all shingles, two sets of n and m with that much in common share one of the
+    first n - ceil(similarity * n) + 1 of either, or else too few are left. The order puts the shingles last that are common in a sample of the texts, so that a repeated line does not bring
     its texts together. Texts meet in the buckets of these shingles if their sizes and places there allow the
     similarity, and link if their whole sets have it: no pair is lost. In large buckets a forest of the links that
     the parities of the sets make likely is tried first, and then all pairs whose members the links have not put
@@ -606,10 +645,14 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -
     doc_id, text = (F.col(f"doc_column_{documents.columns.index(c)}") for c in ("doc_id", "text"))
     uid = F.xxhash64(doc_id, text)
     signed = stored(rows.select(uid.alias("uid"), doc_id.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_wholes, "uid long, doc_id long, high long, low long"), "signatures")
-    sets = rows.select(text.alias("text")).mapInArrow(_sets(words), "high long, low long, shingles binary")
-    texts = sets.groupBy("high", "low").agg(F.min("shingles").alias("shingles"))
-    texts = stored(texts.withColumn("whole", F.monotonically_increasing_id()), "texts")
-    found = similar_texts(texts.select("whole", "shingles"), similarity)
+    # a fixed bitmap of the digests that more rows have: only texts that it marks move to be told from their copies
+    again = signed.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = documents.sparkSession.sparkContext.broadcast(_marks(again.select(F.col("low").bitwiseAND((1 << BITMAP) - 1))))
+    sets = rows.select(text.alias("text")).mapInArrow(_sets(words, repeated), "high long, low long, fp long, shingles binary, again boolean")
+    sets = stored(sets.withColumn("whole", F.monotonically_increasing_id()), "sets")
+    once = sets.where("again").groupBy("high", "low").agg(*(F.min(c).alias(c) for c in ("fp", "shingles", "whole")))
+    texts = sets.where("NOT again").drop("again").unionByName(stored(once, "once"))
+    found = similar_texts(texts.select("whole", "fp", "shingles"), similarity)
     classes = texts.select("high", "low", "whole").join(found, F.col("whole") == F.col("node"), "left")
     classes = signed.join(classes.select("high", "low", F.coalesce("component", "whole").alias("class")), ["high", "low"])
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("first"))

@@ -49,7 +49,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest doc_id.
 
-    Null and empty texts are copies of each other. Of equal rows one stays, a null doc_id only where its class has no
+    SimHash links those within 4 bits that meet by their Golay keys and whose shingles agree; a prefix filter completes
+    the classes to a similarity of 0.8. Null and empty texts are copies of each other. Of equal rows one stays, a null doc_id only where its class has no
     other. An empty table gives no rows. Extra columns are kept.
     """
     return simhash.one_of_each(docs)

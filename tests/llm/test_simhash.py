@@ -238,3 +238,49 @@ def test_any_column_names_and_equal_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, uid long, whole string").withColumnRenamed("whole", "row_uid")
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]
+
+
+def test_the_stage_links_by_golay_keys_first(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    words = [f"w{i}" for i in range(20_000)]
+    texts, line = [], "a line that stands on each of these pages " * 60
+    for _ in range(12):
+        w = rng.choice(words, 600).tolist()
+        texts += [" ".join(w), " ".join([*w[:300], "edited", *w[301:]]), " ".join(w + rng.choice(words, 120).tolist())]
+    texts += [line + " ".join(rng.choice(words, 12)) for _ in range(4)] + [None, "one two", "one two"]
+    names, linked = brute_classes(texts)
+    near = [bin(brute_fingerprint(a) ^ brute_fingerprint(b)).count("1") <= 4 for a, b in ((texts[i], texts[j]) for i, j in linked)]
+    # some similar pairs are within 4 bits, some are not, and the pages of one line are, though not similar
+    assert 6 <= sum(near) < len(near) and bin(brute_fingerprint(texts[36]) ^ brute_fingerprint(texts[37])).count("1") <= 4 and names[37] == 37
+    seen, verified, left = [], [], []
+    links, near_links, apart = simhash.links, simhash.fingerprint_links, simhash.apart
+
+    def spied_links(distinct, *more):
+        seen.extend(r["fp"] & (1 << 64) - 1 for r in distinct.collect())
+        return links(distinct, *more)
+
+    def spied_near(*args):
+        verified.append(near_links(*args))
+        return verified[-1]
+
+    def spied_apart(pairs, classes):
+        found = apart(pairs, classes)
+        left.append((found, dict(tuple(r) for r in classes.collect())))
+        return found
+
+    monkeypatch.setattr(simhash, "links", spied_links)
+    monkeypatch.setattr(simhash, "fingerprint_links", spied_near)
+    monkeypatch.setattr(simhash, "apart", spied_apart)
+    assert kept_of(spark, texts) == sorted(set(names))
+    assert sorted(seen) == sorted({brute_fingerprint(t) for t in texts})
+    # all near pairs of different texts are linked, the pages of one line are not; the rest is left to the prefix filter
+    assert verified[0].count() == sum(near) - 1
+    ((found, classes),) = left
+    assert found.count() and all(a not in classes or classes[a] != classes.get(b) for a, b in found.collect())
+
+
+def test_texts_whose_digests_share_a_mark_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BITMAP", 6)
+    rng = np.random.default_rng(19)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(900)], 30)) for _ in range(150)]
+    assert kept_of(spark, texts + texts[:40]) == list(range(150))
