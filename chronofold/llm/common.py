@@ -93,9 +93,14 @@ def working_for(name: str = "") -> None:
         _working_for = name
         # what allocators keep of it goes back too, as the next operator's share of the executor's memory
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Called as a task with large batches ends: allocators return what is free to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def row_uid(*columns: str) -> Column:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import stored, working_for
+from chronofold.llm.common import give_back, stored, working_for
 from chronofold.llm.substring_dedup import rolling
 
 MAX_DISTANCE = 4
@@ -320,6 +320,7 @@ def _signed64(values: list[int]) -> pa.Array:
 
 
 def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working_for()
     for batch in batches:
         found = [xxhash.xxh3_128_intdigest(b" ".join((t.as_py() or "").encode().lower().split()), 1) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed64([f >> 64 for f in found]), _signed64([f & (1 << 64) - 1 for f in found])], names=["uid", "doc_id", "high", "low"])
@@ -338,6 +339,7 @@ def _sets(words: int, repeated):
                 again = _marked(repeated.value, low.to_numpy() & ((1 << BITMAP) - 1))
                 fps = _signed64([fingerprint(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([high, low, fps, pa.array([packed(f[1]) for f in found], pa.binary()), pa.array(again)], names=["high", "low", "fp", "shingles", "again"])
+        give_back()
 
     return run
 
@@ -541,8 +543,10 @@ def _marked(bits: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 def _in_pairs(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for()
         for batch in batches:
             yield batch.select([0, 1]).filter(pa.array(_marked(bits.value, batch.column(2).to_numpy())))
+        give_back()
 
     return run
 
@@ -552,6 +556,7 @@ def _verified(similarity: float):
         for batch in batches:
             keep = [resemblance(unpacked(x.as_py()), unpacked(y.as_py())) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return run
 
